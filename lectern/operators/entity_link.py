@@ -1,0 +1,150 @@
+"""Linking typed names to a register.
+
+Method: every canonical rewriting of each name (short forms of given names, initials, order of the pieces, cut-short
+surnames, one or two typing slips) is a string; registers and labels are exploded into these forms and equi-joined.
+Candidates are scored by the rarity of the rewriting they share and the fit of the pieces.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import combinations
+from math import log
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lectern.functions import names, speech
+
+#: A register up to this size is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 20_000
+
+
+def _initial(token: str) -> str:
+    t = token.rstrip(".")
+    return names.FROM_NICK.get(t, t)[:1]
+
+
+def _forms(word: str, edits: int) -> set[str]:
+    """What is left of ``word`` without up to ``edits`` letters: words within so many edits share a form."""
+    out = {word}
+    for k in range(1, edits + 1):
+        if len(word) - k >= 4:
+            out |= {"".join(c for i, c in enumerate(word) if i not in gone) for gone in combinations(range(len(word)), k)}
+    return out
+
+
+def _reach(word: str) -> int:
+    return 2 if len(word) >= 7 else 1
+
+
+def label_keys(records: DataFrame, given: frozenset[str]) -> DataFrame:
+    """(rec_id, key) of every record whose label holds a name; the key is the name's pieces as one string."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, out = [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                kind, label, _, _ = speech.split_label(t, given)
+                n = names.parse(label, kind, given) if kind in ("name", "port") else None
+                if n:
+                    ids.append(i)
+                    out.append(f"{' '.join(n.surnames)}|{' '.join(n.given)}|{n.title}|{n.seat}")
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["rec_id", "key"])
+
+    return records.select("rec_id", "text").mapInArrow(keys, "rec_id long, key string")
+
+
+def _read(key: str) -> tuple[list[str], list[str], str, str]:
+    s, g, title, seat = key.split("|")
+    return s.split(), g.split(), title, seat
+
+
+def _label_forms(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for df in it:
+        rows = []
+        for key in df["key"]:
+            surnames, given, _, _ = _read(key)
+            sig = "".join(_initial(g) for g in given[:2])
+            for s in surnames:
+                if s.endswith("."):
+                    rows.append((key, f"{s.rstrip('.')}*|{sig}"))
+                base = s.rstrip(".")
+                rows += [(key, f"{f}|{sig}") for f in _forms(base, _reach(base))]
+        yield pd.DataFrame(rows, columns=["key", "form"])
+
+
+def _member_forms(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for df in it:
+        rows = []
+        for r in df.itertuples():
+            parts = (r.full_name or "").lower().split()
+            if len(parts) < 2:
+                continue
+            first, last, middle = parts[0], parts[-1], parts[1] if len(parts) > 2 else ""
+            sigs = {"", first[:1]} | ({first[:1] + middle[:1], middle[:1] + first[:1]} if middle else set())
+            forms = _forms(last, _reach(last)) | {f"{last[:n]}*" for n in range(3, len(last))}
+            rows += [(r.member_id, first, middle, last, (r.honorific or "").lower().rstrip("."), (r.constituency or "").lower(), f"{f}|{s}") for f in forms for s in sigs]
+        yield pd.DataFrame(rows, columns=["member_id", "first", "middle", "last", "honorific", "seat", "form"])
+
+
+def _score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    neutral = {"", "hon", "honourable", "mhe", "mheshimiwa", "rt"}
+    for df in it:
+        rows = []
+        for r in df.itertuples():
+            surnames, given, title, seat = _read(r.key)
+            if seat and seat != r.seat or title not in neutral and r.honorific and title != r.honorific:
+                continue
+            fit = names.given_fit(tuple(given), r.first, r.middle)
+            if fit is None:
+                continue
+            best = None
+            for s in surnames:
+                base = s.rstrip(".")
+                if s.endswith(".") and len(base) >= 3 and r.last.startswith(base):
+                    slip = 0.0
+                elif s.endswith(".") and len(base) >= 4 and names.edits(base, r.last[: len(base)]) <= 1:
+                    slip = 1.5
+                else:
+                    slip = names.edits(base, r.last)
+                    if slip > _reach(r.last) or slip == 2 and min(len(base), len(r.last)) < 7:
+                        continue
+                best = slip if best is None else min(best, slip)
+            if best is not None:
+                rows.append((r.key, r.member_id, r.rarity + fit - 2 * best + (2 if seat else 0)))
+        yield pd.DataFrame(rows, columns=["key", "member_id", "score"]).astype({"member_id": "int32", "score": "float64"})
+
+
+def register_given(members: DataFrame) -> tuple[frozenset[str], int]:
+    """The given names of the register (a bounded vocabulary: short forms and full ones) and its number of rows."""
+    words = members.select(F.explode(F.slice(F.split(F.trim(F.lower("full_name")), r"\s+"), 1, 2)).alias("w")).groupBy("w").count()
+    n = members.count()
+    return names.given_names([f"{r.w} x" for r in words.collect()]), n
+
+
+def link_names(records: DataFrame, members: DataFrame) -> DataFrame:
+    """(rec_id, member_id) of each record of ``records(rec_id, text)`` whose label names a member.
+
+    A label that fits two members equally well links to neither; null and empty texts, labels without a name and
+    persons not in the register give no row; repeated records give one row. ``members(member_id, full_name,
+    honorific, constituency)`` may hold nulls; other columns are ignored. An empty register links nothing.
+    """
+    given, n = register_given(members)
+    keys = label_keys(records, given)
+    typed = keys.groupBy("key").agg(F.count("*").alias("n")).select("key")
+    forms = typed.mapInPandas(_label_forms, "key string, form string")
+    register = members.select("member_id", "full_name", "honorific", "constituency").mapInPandas(
+        _member_forms, "member_id int, first string, middle string, last string, honorific string, seat string, form string"
+    )
+    of = register.groupBy("form").agg(F.countDistinct("member_id").alias("df"))
+    register = register.join(of, "form").withColumn("rarity", F.lit(log(max(n, 2))) - F.log("df"))
+    if n <= BROADCAST_ROWS:
+        register = F.broadcast(register)
+    pairs = forms.join(register, "form").groupBy("key", "member_id").agg(*(F.first(c).alias(c) for c in ("first", "middle", "last", "honorific", "seat")), F.max("rarity").alias("rarity"))
+    scored = pairs.mapInPandas(_score, "key string, member_id int, score double")
+    best = scored.groupBy("key").agg(F.max(F.struct("score", "member_id")).alias("b"), F.collect_list("score").alias("all"))
+    best = best.filter(F.size(F.filter("all", lambda x: x > F.col("b.score") - 1e-9)) == 1).select("key", F.col("b.member_id").alias("member_id"))
+    return keys.join(best, "key").select("rec_id", "member_id").distinct()

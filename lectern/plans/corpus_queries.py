@@ -1,0 +1,45 @@
+"""The pN_ queries of the general problems."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lectern.operators import entity_link, overlap, splits
+from lectern.sources.tables import table
+
+LABELS = "speaker_name_hand_labels_w_text20"
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.sitting_pairs(table(spark, sf_dir, LABELS).select("file", "year"))
+
+
+def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.assign_splits(table(spark, sf_dir, LABELS).select("file", "year"))
+
+
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = p4_splits(spark, sf_dir).groupBy("split").agg(F.sum("n").alias("records"), F.countDistinct("component").alias("sittings"))
+    return got.withColumn("share", F.round(F.col("records") / F.sum("records").over(Window.partitionBy()), 6))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_link.link_names(table(spark, sf_dir, LABELS), table(spark, sf_dir, "members"))
+
+
+def _overlap_input(spark: SparkSession, sf_dir: str):
+    given, _ = entity_link.register_given(table(spark, sf_dir, "members"))
+    return table(spark, sf_dir, LABELS), table(spark, sf_dir, "file_splits"), given
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlap_pairs(*_overlap_input(spark, sf_dir))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlap_report(*_overlap_input(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_splits, p4_shares, p5_found, p6_found, p6_report)}
+SQL: dict[str, str] = {}
