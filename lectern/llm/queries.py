@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import encoding
+from lectern.llm import encoding, sentences
 from lectern.sources.tables import table
 
 LABELS = "speaker_name_hand_labels_w_text20"
@@ -18,5 +18,9 @@ def p2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.repaired(table(spark, sf_dir, LABELS)).select("rec_id", "fixed", "layers", "runs").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repair)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_repair, p9_found)}
 SQL: dict[str, str] = {}
