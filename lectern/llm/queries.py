@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import encoding, sentences
+from lectern.llm import encoding, mixing, sentences, tokens
 from lectern.sources.tables import table
 
 LABELS = "speaker_name_hand_labels_w_text20"
@@ -18,9 +18,21 @@ def p2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.repaired(table(spark, sf_dir, LABELS)).select("rec_id", "fixed", "layers", "runs").distinct()
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(table(spark, sf_dir, "documents"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repair, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_repair, p7_ids, p8_mix, p8_shares, p9_found)}
 SQL: dict[str, str] = {}
