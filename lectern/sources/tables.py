@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, unless they find it on their path as the driver does."""
+    app = spark.sparkContext.applicationId
+    paths = [os.path.abspath(p) for p in (os.environ.get("PYTHONPATH") or "").split(os.pathsep) if p]
+    if app in _shipped or _ROOT in paths or os.getcwd() == _ROOT:
+        return
+    d = tempfile.mkdtemp()  # the driver's copy, which Spark itself hands to the executors
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(d, "lectern"), "zip", _ROOT, "lectern"))
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``sf_dir``; columns are pruned by what is selected from it."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
