@@ -4,12 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import encoding, mixing, sentences, tokens
+from lectern.llm import encoding, mixing, sentences, tokens, turns
+from lectern.operators.entity_link import register_given
 from lectern.sources.tables import table
 
 LABELS = "speaker_name_hand_labels_w_text20"
 
 
+def _turns(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    given, _ = register_given(table(spark, sf_dir, "members"))
+    headers = frozenset(r.header for r in table(spark, sf_dir, "headers").filter("header is not null").collect())  # a fixed list
+    return turns.turns(table(spark, sf_dir, LABELS), given, headers, with_text)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir, False).filter("not inferred").select("file", "first_line", "last_line")
+
+
+def p1_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir, True)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.repaired(table(spark, sf_dir, LABELS)).select("rec_id").distinct()
 
@@ -34,5 +49,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repair, p7_ids, p8_mix, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_repair, p7_ids, p8_mix, p8_shares, p9_found)}
 SQL: dict[str, str] = {}
