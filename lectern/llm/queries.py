@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import encoding, mixing, sentences, tokens, turns
+from lectern.llm import encoding, mixing, scans, sentences, tokens, turns
 from lectern.operators.entity_link import register_given
 from lectern.sources.tables import table
 
@@ -33,6 +33,19 @@ def p2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.repaired(table(spark, sf_dir, LABELS)).select("rec_id", "fixed", "layers", "runs").distinct()
 
 
+def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given, _ = register_given(table(spark, sf_dir, "members"))
+    return scans.repaired(table(spark, sf_dir, LABELS), given)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scans(spark, sf_dir).select("rec_id").distinct()
+
+
+def p3_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scans(spark, sf_dir).distinct()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -49,5 +62,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_repair, p7_ids, p8_mix, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_repair, p3_found, p3_repair, p7_ids, p8_mix, p8_shares, p9_found)}
 SQL: dict[str, str] = {}
