@@ -97,41 +97,26 @@ def _features(w: str, i: int) -> list[str]:
     return [c, p + c, c + n + "+", p + c + n, c + n + nn + "+", "#" + str(c.isdigit()) + str(p.isdigit()) + str(n.isdigit())]
 
 
-def _align(noisy: str, clean: str) -> list[str]:
-    """Edit operations that turn ``noisy`` into ``clean``: K keep, R: replace by, D delete, I: keep and insert after."""
-    n, m = len(noisy), len(clean)
-    cost = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if i == 0 or j == 0:
-                cost[i][j] = i + j
-            else:
-                cost[i][j] = min(cost[i - 1][j] + 1, cost[i][j - 1] + 1, cost[i - 1][j - 1] + (noisy[i - 1] != clean[j - 1]))
-    ops = ["K"] * n
-    i, j = n, m
-    while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (noisy[i - 1] != clean[j - 1]):
-            if noisy[i - 1] != clean[j - 1]:
-                ops[i - 1] = "R:" + clean[j - 1] + ops[i - 1].removeprefix("K").removeprefix("I:")
-            i, j = i - 1, j - 1
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
-            ops[i - 1] = "D"
-            i -= 1
-        else:
-            k = max(i - 1, 0)
-            ops[k] = ("I:" + clean[j - 1] + ops[k].removeprefix("I:").removeprefix("K")) if ops[k][0] in "KI" else ops[k] + clean[j - 1]
-            j -= 1
+def _align(noisy: str, clean: str) -> list[str] | None:
+    """Edit operations that turn ``noisy`` into ``clean``: K keep, R: replace by, D delete, I: keep and insert after. The
+    words may differ in one short stretch; None otherwise."""
+    i = 0
+    while i < min(len(noisy), len(clean)) and noisy[i] == clean[i]:
+        i += 1
+    j = 0
+    while j < min(len(noisy), len(clean)) - i and noisy[-1 - j] == clean[-1 - j]:
+        j += 1
+    wrong, right = noisy[i : len(noisy) - j], clean[i : len(clean) - j]
+    if len(wrong) > 2 or len(right) > 2:
+        return None
+    ops = ["K"] * len(noisy)
+    if wrong:
+        ops[i : i + len(wrong)] = ["R:" + right if right else "D"] + ["D"] * (len(wrong) - 1)
+    elif right and i:
+        ops[i - 1] = "I:" + right
     return ops
 
 
-def _apply(w: str, ops: dict[int, str]) -> str:
-    out = []
-    for i, c in enumerate(w):
-        op = ops.get(i, "K")
-        out.append(c if op == "K" else "" if op == "D" else op[2:] if op[0] == "R" else c + op[2:])
-    return "".join(out)
-
-
 class Editor:
     """The trained editor with the corpus's words."""
 
@@ -181,10 +166,22 @@ class Editor:
         chars = Perceptron()
         for _ in range(2):
             for noisy, clean in pairs:
-                for i, op in enumerate(_align(noisy, clean)):
+                for i, op in enumerate(_align(noisy, clean) or ()):
                     chars.learn(_features(noisy, i), op)
         self.chars = chars.freeze()
-        self.ops = {c: [(o, v) for o, v in self.chars.get(c, {}).items()] for c in {x[0] for x in self.chars}}
+        # what the operations learned from the corpus replace: single letters and pairs, by their first letter
+        seen: Counter[tuple[str, str]] = Counter()
+        for noisy, clean in pairs:
+            ops = _align(noisy, clean) or []
+            at = next((i for i, op in enumerate(ops) if op != "K"), None)
+            if at is not None and ops[at][0] != "I":
+                n = sum(op != "K" for op in ops)
+                seen[noisy[at : at + n], ops[at][2:] if ops[at] != "D" else ""] += 1
+        spans: dict[str, dict[str, list[str]]] = defaultdict(lambda: defaultdict(list))
+        for (wrong, right), n in seen.items():
+            if n >= 4 and right:
+                spans[wrong[0]][wrong].append(right)
+        self.spans = {c: [(x, sorted(ys)) for x, ys in sorted(d.items())] for c, d in spans.items()}
 
     def _scores(self, w: str, i: int) -> dict[str, float]:
         s: dict[str, float] = {}
@@ -196,19 +193,27 @@ class Editor:
 
     def _edit(self, w: str) -> str | None:
         """The trusted word the editor's best operations make of ``w``: up to three edits, the best total first."""
-        alts = []
+        each = [self._scores(w, i) for i in range(len(w))]
+        alts: list[tuple[float, int, int, str]] = []  # cost, place, length, what it becomes
         for i in range(len(w)):
-            s = self._scores(w, i)
-            keep = s.get("K", 0.0)
-            alts += sorted(((keep - v, i, op) for op, v in s.items() if op != "K"), key=lambda x: x[0])[:8]
+            for wrong, rights in self.spans.get(w[i], ()):
+                if w.startswith(wrong, i):
+                    for right in rights:
+                        ops = ["R:" + right if right else "D"] + ["D"] * (len(wrong) - 1)
+                        alts.append((sum(each[i + j].get("K", 0.0) - each[i + j].get(op, -1.0) for j, op in enumerate(ops)), i, len(wrong), right))
         alts.sort()
         least = TRUSTED * self.total
         best: tuple[float, int, str] | None = None
         for k in (1, 2, 3):
-            for combo in combinations(alts[: (40, 16, 8)[k - 1]], k):
-                if len({c[1] for c in combo}) < k:
+            for combo in combinations(alts[: (60, 14, 8)[k - 1]], k):
+                combo = tuple(sorted(combo, key=lambda c: c[1]))
+                if any(x[1] + x[2] > y[1] for x, y in zip(combo, combo[1:])):
                     continue
-                x = _apply(w, {c[1]: c[2] for c in combo})
+                x, at = "", 0
+                for _, i, n, right in combo:
+                    x += w[at:i] + right
+                    at = i + n
+                x += w[at:]
                 n = self.counts.get(x, 0)
                 if n >= least and x != w and len(x) > 1:
                     got = (sum(max(c[0], -5.0) for c in combo), -n, x)
