@@ -124,7 +124,6 @@ def _round_trips(run: str) -> Iterator[str]:
             yield "".join(out) + run[at:]
 
 
-@lru_cache(maxsize=1 << 16)
 def repair_run(run: str, before: str, after: str) -> tuple[str, int, bool]:
     """(repaired run, layers undone, garbled): garbled also where nothing can be given back (replacement marks, remains)."""
     now, layers, c = run, 0, cost(run, before, after)
@@ -136,8 +135,8 @@ def repair_run(run: str, before: str, after: str) -> tuple[str, int, bool]:
         layers += 1
     out = list(now)
     for i, ch in enumerate(out):
-        p, n = before + "".join(out[:i]), "".join(out[i + 1 :]) + after
-        own = cost(ch, p[-2:], n[:2])
+        p, n = (before + "".join(out[max(0, i - 2) : i]))[-2:], ("".join(out[i + 1 : i + 3]) + after)[:2]
+        own = cost(ch, p, n)
         if own < 3 or ord(ch) == 0xFFFD:
             continue
         best = (own, len(MISREAD_BYTE), ch)
@@ -147,7 +146,7 @@ def repair_run(run: str, before: str, after: str) -> tuple[str, int, bool]:
             except UnicodeError:
                 continue
             if not got.isascii():
-                best = min(best, (cost(got, p[-2:], n[:2]), k, got))
+                best = min(best, (cost(got, p, n), k, got))
         if best[0] < own:
             out[i] = best[2]
             layers = max(layers, 1)
@@ -157,6 +156,9 @@ def repair_run(run: str, before: str, after: str) -> tuple[str, int, bool]:
     return now, layers, garbled
 
 
+_short_run = lru_cache(maxsize=1 << 16)(repair_run)
+
+
 def repair(text: str | None) -> tuple[str | None, int, int]:
     """(repaired text, most layers undone, garbled runs). Null gives null; ASCII text comes back as it is."""
     if text is None or text.isascii():
@@ -164,7 +166,7 @@ def repair(text: str | None) -> tuple[str | None, int, int]:
     out, at, layers, bad = [], 0, 0, 0
     for m in RUN.finditer(text):
         s, e = m.span()
-        new, k, garbled = repair_run(m.group(), text[max(0, s - 2) : s], text[e : e + 2])
+        new, k, garbled = (_short_run if e - s <= 32 else repair_run)(m.group(), text[max(0, s - 2) : s], text[e : e + 2])
         if garbled:
             bad += 1
             layers = max(layers, k)

@@ -36,7 +36,7 @@ CONFUSIONS = (
 )
 
 WORD = re.compile(r"[A-Za-z0-9†ﬁﬂÀ-ɏ]+(?:[!|'’][A-Za-z0-9†ﬁﬂ]+)*")
-_BREAK = re.compile(r"([A-Za-z0-9†!ﬁﬂÀ-ɏ]+)([-\xad¬])([ \t]*(?:\n\s*|(?<=[ \t])))([a-z0-9†ﬁﬂà-ɏ][a-z0-9†!ﬁﬂà-ɏ]*)")
+_BREAK = re.compile(r"(?<![A-Za-z0-9†!ﬁﬂÀ-ɏ])([A-Za-z0-9†!ﬁﬂÀ-ɏ]+)([-\xad¬])([ \t]*(?:\n\s*|(?<=[ \t])))([a-z0-9†ﬁﬂà-ɏ][a-z0-9†!ﬁﬂà-ɏ]*)")
 _SINGLE = re.compile(r"(?<![\w(.'’£/-])[A-Za-z](?![\w).'’:/-])")
 # Furniture that can't be part of a sentence, also within a line; bare numbers count only on lines of their own.
 _INLINE = re.compile(

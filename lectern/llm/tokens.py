@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -114,23 +115,26 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: the earliest merge first, from the left."""
-        parts = [self.ids[word[i : i + 1]] for i in range(len(word))]
-        while len(parts) > 1:
-            best = min((self._merge[p] + (i,) for i in range(len(parts) - 1) if (p := (parts[i], parts[i + 1])) in self._merge), default=None)
-            if best is None:
-                break
-            rank, made, _ = best
-            pair_l, pair_r = int(self.left[made]), int(self.right[made])
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == pair_l and parts[i + 1] == pair_r:
-                    out.append(made)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
+        tok = [self.ids[word[i : i + 1]] for i in range(len(word))]
+        n = len(tok)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        alive = [True] * n
+        heap = [(r[0], i, tok[i], tok[i + 1], r[1]) for i in range(n - 1) if (r := self._merge.get((tok[i], tok[i + 1])))]
+        heapify(heap)
+        while heap:
+            _, i, a, b, made = heappop(heap)
+            j = after[i] if alive[i] else n
+            if j >= n or tok[i] != a or tok[j] != b:
+                continue
+            tok[i] = made
+            alive[j] = False
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < n and (r := self._merge.get((tok[x], tok[y]))):
+                    heappush(heap, (r[0], x, tok[x], tok[y], r[1]))
+        return [t for t, ok in zip(tok, alive) if ok]
 
 
 class Encoder:
