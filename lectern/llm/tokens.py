@@ -56,7 +56,12 @@ class Vocabulary:
         b = np.array([ids[y] for _, y in merges], np.int64)
         c = np.array([ids[x + y] for x, y in merges], np.int64)
         self.ids.update((of(x + y), ids[x + y]) for x, y in merges)
-        self.longest = max(map(len, self.ids))
+        lengths: dict[bytes, set[int]] = {}
+        for t in self.ids:
+            if len(t) > 1:
+                lengths.setdefault(t[:2], set()).add(len(t))
+        #: Lengths of the tokens that open with two bytes, the longest first.
+        self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
         size = max(ids.values()) + 1
         # ranks order merges; a token's rank is that of the merge that makes it, single bytes come before all
         self.rank = np.full(size, -1, np.int64)
@@ -104,13 +109,15 @@ class Vocabulary:
         return good
 
     def greedy(self, word: bytes) -> list[int]:
-        out, i, n, ids = [], 0, len(word), self.ids
+        out, i, n, ids, lengths = [], 0, len(word), self.ids, self.lengths
         while i < n:
-            j = min(n, i + self.longest)
-            while (t := ids.get(word[i:j])) is None:
-                j -= 1
+            for k in lengths.get(word[i : i + 2], ()):
+                if (t := ids.get(word[i : i + k])) is not None and i + k <= n:
+                    break
+            else:
+                k, t = 1, ids[word[i : i + 1]]
             out.append(t)
-            i = j
+            i += k
         return out
 
     def merge(self, word: bytes) -> list[int]:
