@@ -49,10 +49,13 @@ def ascii_fold_exact(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
 
 
-def decode_bytes(c: Column, candidates: tuple[str, ...] = ("UTF-8", "windows-1252")) -> Column:
-    """Bytes as text under the first of the encodings that fits: a decoded text with no replacement mark."""
-    tries = [F.when(~F.contains(F.decode(c, e), F.lit("�")), F.decode(c, e)) for e in candidates[:-1]]
-    return F.coalesce(*tries, F.decode(c, candidates[-1])) if tries else F.decode(c, candidates[-1])
+def decode_bytes(c: Column) -> Column:
+    """Bytes as text: UTF-8 where they are valid as that, else Windows-1252; a byte that one leaves undefined stays the
+    control character of its number, so every input decodes."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    wrong, right = ("".join(x) for x in zip(*[p for p in pairs if p[1]]))
+    text = c.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.translate(F.decode(c, "ISO-8859-1"), wrong, right))
 
 
 def clean_text(c: Column) -> Column:

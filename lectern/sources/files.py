@@ -12,10 +12,10 @@ SPAN_LABELS = "year int, file string, line int, start int, end int, notes string
 FILE_META = "type string, id string, file_version struct<type:string,id:string,sha1:string>, sequence_id string, etag string, sha1 string, name string, folder struct<type:string,id:string,sequence_id:string,etag:string,name:string>"
 
 
-def read_transcripts(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "windows-1252")) -> DataFrame:
-    """(path, filetype, text) of whole txt files, decoded by the first encoding that fits; other types are left out."""
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, filetype, text) of whole txt files, UTF-8 or else Windows-1252; other types are left out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return raw.select("path", filetype(F.col("path")).alias("filetype"), decode_bytes(F.col("content"), encodings).alias("text")).filter("filetype = 'txt'")
+    return raw.select("path", filetype(F.col("path")).alias("filetype"), decode_bytes(F.col("content")).alias("text")).filter("filetype = 'txt'")
 
 
 def read_pdf(spark: SparkSession, path: str, page_sep: str = "\n\n") -> DataFrame:
