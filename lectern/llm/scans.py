@@ -39,15 +39,16 @@ WORD = re.compile(r"[A-Za-z0-9†ﬁﬂÀ-ɏ]+(?:[!|'’][A-Za-z0-9†ﬁﬂ]+)*
 _BREAK = re.compile(r"(?<![A-Za-z0-9†!ﬁﬂÀ-ɏ])([A-Za-z0-9†!ﬁﬂÀ-ɏ]+)([-\xad¬])([ \t]*(?:\n\s*|(?<=[ \t])))([a-z0-9†ﬁﬂà-ɏ][a-z0-9†!ﬁﬂà-ɏ]*)")
 _SINGLE = re.compile(r"(?<![\w(.'’£/-])[A-Za-z](?![\w).'’:/-])")
 # Furniture that can't be part of a sentence, also within a line; bare numbers count only on lines of their own.
+_DAY = speech._DATE.replace(speech._MONTH, "(?i:" + "|".join(speech.MONTHS) + ")").replace("(?:st|nd|rd|th)", "(?i:st|nd|rd|th)")
 _INLINE = re.compile(
     r"(?:Page\s+\d+\s+of\s+\d+|\[\d{1,4}\]|(?:(?<=\s)|^)-\s\d{1,4}\s-(?=\s|$)"
     r"|Vol\.\s+\d+\s+Official\s+Record,\s+col\.\s+\d+"
-    r"|(?:\d{1,4}\s+)?(?:PARLIAMENT\w*|P\s*A\s*R\s*L\s*I\s*A\s*M\s*E\s*N\s*T\s*A\s*R\s*Y)\s+DEBATES?(?:\s+(?:" + speech._DATE + r"|\d{1,4}))?"
-    r"|" + speech._DATE + r"\s+(?:PARLIAMENT\w*\s+DEBATES?|Oral\s+Replies|HOUSE\s+REPORTS)\s+\d{1,4}"
-    r"|\d{1,4}\s+(?:HOUSE\s+REPORTS|Oral\s+Replies)\s+" + speech._DATE.replace(speech._MONTH, "(?i:" + "|".join(speech.MONTHS) + ")") + r"|\[" + speech._DATE + r"\]"
+    rf"|{_DAY}\s+(?:PARLIAMENT\w*\s+DEBATES?|Oral\s+Replies|HOUSE\s+REPORTS)\s+\d{{1,4}}"
+    rf"|(?:\d{{1,4}}\s+)?(?:PARLIAMENT\w*|P\s*A\s*R\s*L\s*I\s*A\s*M\s*E\s*N\s*T\s*A\s*R\s*Y)\s+DEBATES?(?:\s+(?:{_DAY}|\d{{1,4}}))?"
+    rf"|\d{{1,4}}\s+(?:HOUSE\s+REPORTS|Oral\s+Replies)\s+{_DAY}|\[{_DAY}\]"
     r"|Note:\s+This\s+electronic\s+copy\s+is\s+issued\s+for\s+information\s+only\."
     r"|A\s+signed\s+copy\s+of\s+this\s+Report\s+is\s+kept\s+by\s+the\s+Editor\s+of\s+Debates\."
-    r"|Uncorrected\s+proof\s+-\s+not\s+for\s+citation\s+-\s+\d{1,4})".replace(speech._MONTH, "(?i:" + "|".join(speech.MONTHS) + ")").replace("(?:st|nd|rd|th)", "(?i:st|nd|rd|th)")
+    r"|Uncorrected\s+proof\s+-\s+not\s+for\s+citation\s+-\s+\d{1,4})"
 )
 _NUMBER_LINE = re.compile(r"(?m)^[ \t]*(\d{1,4})\.?[ \t]*(?:</?\w+>[ \t]*)?$")
 _ASKED = re.compile(r"\s*asked\s+the\s+Minister\s+for\s+[A-Za-z -]+?(?::-|\s|:)(?=\s*\d)")
@@ -181,6 +182,9 @@ class Editor:
         for (wrong, right), n in seen.items():
             if n >= 4 and right:
                 spans[wrong[0]][wrong].append(right)
+        for right, wrong in CONFUSIONS:
+            if right not in spans[wrong[0]][wrong]:
+                spans[wrong[0]][wrong].append(right)
         self.spans = {c: [(x, sorted(ys)) for x, ys in sorted(d.items())] for c, d in spans.items()}
 
     def _scores(self, w: str, i: int) -> dict[str, float]:
