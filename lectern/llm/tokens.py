@@ -85,7 +85,7 @@ class Vocabulary:
         """Rank of the merge of each pair, or a large number."""
         k = a << 20 | b
         i = np.minimum(np.searchsorted(self._key, k), len(self._key) - 1)
-        return np.where(self._key[i] == k, self._made[i], 1 << 40)
+        return np.where(self._key[i] == k, self._made[i], 1 << 42)
 
     def compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """For each pair of tokens whether merging would keep them apart: undo merges on either side of the border, the
