@@ -178,7 +178,8 @@ def same_person(a: Name, b: Name) -> bool:
     for x in a.surnames:
         for y in b.surnames:
             p, q = x.rstrip("."), y.rstrip(".")
-            if p == q or (x.endswith(".") or y.endswith(".")) and min(len(p), len(q)) >= 3 and edits(p[: min(len(p), len(q))], q[: min(len(p), len(q))]) <= 1:
+            k = min(len(p), len(q))
+            if p == q or (x.endswith(".") or y.endswith(".")) and k >= 3 and edits(p[:k], q[:k]) <= (k >= 5):
                 near = True
             elif min(len(p), len(q)) >= 5 and edits(p, q) <= (1 if min(len(p), len(q)) < 7 else 2):
                 near = True
@@ -193,7 +194,7 @@ def same_person(a: Name, b: Name) -> bool:
         if len(u) == 1 or len(v) == 1:
             full = v if len(u) == 1 else u
             return u[0] == v[0] or FROM_NICK.get(full, full)[0] == (u if len(u) == 1 else v)[0]
-        return bool(fits(x, FROM_NICK.get(v, v)) or fits(y, FROM_NICK.get(u, u)))
+        return bool(fits(x, FROM_NICK.get(v, v)) or fits(y, FROM_NICK.get(u, u))) or min(len(u), len(v)) >= 6 and edits(u, v) <= 2
 
     if len(h) == 1:
         return one(h[0], g[0]) or len(g) > 1 and len(g[0].rstrip(".")) > 1 and one(h[0], g[1])

@@ -90,34 +90,88 @@ def _member_forms(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["member_id", "first", "middle", "last", "honorific", "seat", "form"])
 
 
+_NEUTRAL = ("", "hon", "honourable", "mhe", "mheshimiwa", "rt")
+
+
+def _fit(surnames: tuple[str, ...] | list[str], given: tuple[str, ...] | list[str], title: str, seat: str, first: str, middle: str, last: str, honorific: str, own_seat: str) -> float | None:
+    """How well the pieces of a typed name fit a member; None if they contradict."""
+    if seat and seat != own_seat or title not in _NEUTRAL and honorific and title != honorific:
+        return None
+    fit = names.given_fit(tuple(given), first, middle)
+    if fit is None:
+        return None
+    best = None
+    for s in surnames:
+        base = s.rstrip(".")
+        if s.endswith(".") and len(base) >= 3 and last.startswith(base):
+            slip = 0.0
+        elif s.endswith(".") and len(base) >= 4 and names.edits(base, last[: len(base)]) <= 1:
+            slip = 1.5
+        else:
+            slip = names.edits(base, last)
+            if slip > _reach(last) or slip == 2 and min(len(base), len(last)) < 7:
+                continue
+        best = slip if best is None else min(best, slip)
+    return None if best is None else fit - 2 * best + (2 if seat else 0)
+
+
 def _score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    neutral = {"", "hon", "honourable", "mhe", "mheshimiwa", "rt"}
     for df in it:
         rows = []
         for r in df.itertuples():
-            surnames, given, title, seat = _read(r.key)
-            if seat and seat != r.seat or title not in neutral and r.honorific and title != r.honorific:
-                continue
-            fit = names.given_fit(tuple(given), r.first, r.middle)
-            if fit is None:
-                continue
-            best = None
-            for s in surnames:
-                base = s.rstrip(".")
-                if s.endswith(".") and len(base) >= 3 and r.last.startswith(base):
-                    slip = 0.0
-                elif s.endswith(".") and len(base) >= 4 and names.edits(base, r.last[: len(base)]) <= 1:
-                    slip = 1.5
-                else:
-                    slip = names.edits(base, r.last)
-                    if slip > _reach(r.last) or slip == 2 and min(len(base), len(r.last)) < 7:
-                        continue
-                best = slip if best is None else min(best, slip)
-            if best is not None:
-                rows.append((r.key, r.member_id, r.rarity + fit - 2 * best + (2 if seat else 0)))
+            fit = _fit(*_read(r.key), r.first, r.middle, r.last, r.honorific, r.seat)
+            if fit is not None:
+                rows.append((r.key, r.member_id, r.rarity + fit))
         yield pd.DataFrame(rows, columns=["key", "member_id", "score"]).astype({"member_id": "int32", "score": "float64"})
 
 
+class Resolver:
+    """A small register in memory, for labels that are compared within a worker: the same forms and fit as the join."""
+
+    def __init__(self, rows: tuple[tuple, ...]):
+        self.rows = rows
+        self._of: dict[str, list[tuple]] | None = None
+        self._known: dict[names.Name, int | None] = {}
+
+    def __reduce__(self):
+        return Resolver, (self.rows,)
+
+    def _forms(self) -> dict[str, list[tuple]]:
+        if self._of is None:
+            self._of = {}
+            frame = pd.DataFrame(self.rows, columns=["member_id", "full_name", "honorific", "constituency"])
+            for r in next(iter(_member_forms(iter([frame])))).itertuples(index=False):
+                self._of.setdefault(r.form, []).append(tuple(r)[:6])
+        return self._of
+
+    def __call__(self, n: names.Name) -> int | None:
+        """The member a name links to, or None."""
+        if n in self._known:
+            return self._known[n]
+        of = self._forms()
+        sig = "".join(_initial(g) for g in n.given[:2])
+        scores: dict[int, float] = {}
+        for s in n.surnames:
+            base = s.rstrip(".")
+            keys = [f"{f}|{sig}" for f in _forms(base, _reach(base))] + ([f"{base}*|{sig}"] if s.endswith(".") else [])
+            for k in keys:
+                for m in of.get(k, ()):
+                    if m[0] not in scores and (fit := _fit(n.surnames, n.given, n.title, n.seat, *m[1:])) is not None:
+                        scores[m[0]] = fit
+        top = max(scores.values(), default=0.0)
+        best = [m for m, v in scores.items() if v == top]
+        if len(self._known) > 200_000:
+            self._known.clear()
+        self._known[n] = best[0] if len(best) == 1 else None
+        return self._known[n]
+
+
+def resolver(members: DataFrame) -> Resolver | None:
+    """A resolver for a register of at most BROADCAST_ROWS rows; None for a larger one."""
+    rows = members.select("member_id", "full_name", "honorific", "constituency").limit(BROADCAST_ROWS + 1).collect()
+    return Resolver(tuple(tuple(r) for r in rows)) if len(rows) <= BROADCAST_ROWS else None
+
+
 def register_given(members: DataFrame) -> tuple[frozenset[str], int]:
     """The given names of the register (a bounded vocabulary: short forms and full ones) and its number of rows."""
     words = members.select(F.explode(F.slice(F.split(F.trim(F.lower("full_name")), r"\s+"), 1, 2)).alias("w")).groupBy("w").count()
