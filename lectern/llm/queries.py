@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import encoding, mixing, scans, sentences, tokens, turns
-from lectern.operators.entity_link import register_given
+from lectern.operators.entity_link import register_given, resolver
 from lectern.sources.tables import table
 
 LABELS = "speaker_name_hand_labels_w_text20"
 
 
 def _turns(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
-    given, _ = register_given(table(spark, sf_dir, "members"))
+    members = table(spark, sf_dir, "members")
+    given, _ = register_given(members)
     headers = frozenset(r.header for r in table(spark, sf_dir, "headers").filter("header is not null").collect())  # a fixed list
-    return turns.turns(table(spark, sf_dir, LABELS), given, headers, with_text)
+    return turns.turns(table(spark, sf_dir, LABELS), given, headers, with_text, resolver(members))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

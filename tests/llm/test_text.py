@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import names, speech
 from lectern.llm import encoding, mixing, scans, sentences, tokens, turns
+from lectern.operators.entity_link import Resolver
 
 GIVEN = names.given_names(["Oliver Sintor Wernochum", "Daniel Fumbel Kimdeshur", "Dorothy Jumbar Nenalre"])
 HEADERS = frozenset({"papers laid"})
@@ -27,7 +28,7 @@ def _fold(rows):
             if cur and turns.same_speaker(cur[2], key):
                 if speech.has_words(t, end):
                     cur[1] = line
-                cur[2] = max(cur[2], key, key=len)
+                cur[2] = turns._richer(cur[2], key)
             else:
                 cur = [line, line, key]
                 out.append(cur)
@@ -52,11 +53,20 @@ def test_turns_are_the_fold(spark, monkeypatch, block):
     df = spark.createDataFrame(rows, "rec_id long, file string, line int, text string, block string")
     got = turns.turns(df, GIVEN, HEADERS).collect()
     for f, ls in files.items():
-        want = sorted({n: t for n, t in reversed(ls)}.items()) if False else sorted(ls, key=lambda x: x[0])
+        want = sorted(ls, key=lambda x: x[0])
         assert sorted((r.first_line, r.last_line) for r in got if r.file == f and not r.inferred) == _fold(want), f
     assert turns.turns(df.limit(0), GIVEN, HEADERS).count() == 0
 
 
+def test_register_settles_forms():
+    r = Resolver(((1, "Matthew Kefa Zelfanten", "Mr.", "A"), (2, "Patricia Chimar Zummifam", "Dr.", "B"), (3, "Frederick Sintor Zummifam", "Mr.", "C")))
+    given = names.given_names([x[1] for x in r.rows])
+    key = lambda t: turns.speaker_key(*speech.split_label(t, given)[:2], given, r)
+    assert turns.same_speaker(key("Mr. Zelflnten: x"), key("Hon. Zelfalten: x")) and turns.same_speaker(key("Hon. Zelf.: x"), key("Matt Zelfanten: x"))
+    assert not turns.same_speaker(key("Dr. Zummifam: x"), key("Mr. Zummifam: x")) and turns.same_speaker(key("Dr. Zummi.: x"), key("Pat Zummifam: x"))
+    assert turns.same_speaker(key("Hon. Other: x"), key("Mr. Other - x")) and not turns.same_speaker(key("Hon. Zelfanten: x"), key("Hon. Other: x"))
+
+
 def test_missing_labels_are_inferred(spark):
     bridges, milk = "the bridge girders and steel beams need paint", "milk coolers and dairy cows give cream"
     rows, n = [], 0
