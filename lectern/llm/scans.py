@@ -134,7 +134,8 @@ class Editor:
         # what is known but a misreading of a much more frequent word is not known after all
         self.known = frozenset(counts)
         self.cache: dict[str, str | None] = {}
-        wrong = {w for w, n in counts.items() if n < 1e-3 * self.total and (p := self._edit(w)) and counts[p] >= 4 * RARER * n and any(not c.isalpha() or c == "†" for c in w) | (counts[p] >= 30 * RARER * n)}
+        strange = lambda w: any(not c.isalpha() or c in "†ﬁﬂ" for c in w)
+        wrong = {w for w, n in counts.items() if n < 1e-3 * self.total and (len(w) > 3 or strange(w)) and (p := self._edit(w)) and counts[p] >= (1 if strange(w) else 3) * RARER * n}
         self.known = frozenset(counts.keys() - wrong)
         self.cache = {}
         plain = [w.encode() for w in self.known if w.isascii() and not any(c.isdigit() for c in w) and (len(w) > 1 or w in "ai")]
@@ -362,7 +363,9 @@ def line_features(body: str, s: int, e: int) -> list[str]:
     p = before[-1:] if before else ""
     kind = "stop" if p in ".?!:;" and p else "comma" if p == "," else "word"
     prev = before.rpartition("\n")[2]
-    return [where, f"digits{len(n)}", f"{where}/{kind}", f"{where}/{'short' if len(prev) < 30 else 'long'}", f"{where}/{'lower' if after[:1].islower() else 'upper'}", "dot" if body[s:e].rstrip().endswith(".") else "bare"]
+    word = before.split()[-1].lower() if before[-1:].strip() and prev else ""
+    year = len(n) == 4 and n[:2] in ("19", "20")
+    return [f"after:{word}/{year}", where, f"digits{len(n)}", f"{where}/{kind}", f"{where}/{'short' if len(prev) < 30 else 'long'}", f"{where}/{'lower' if after[:1].islower() else 'upper'}", "dot" if body[s:e].rstrip().endswith(".") else "bare"]
 
 
 def paragraphs(text: str) -> str:
