@@ -435,7 +435,8 @@ def train(records: DataFrame, given: frozenset[str]) -> Editor:
             # a number the words around need is text: after one that asks for a quantity, or before a unit
             rest = body[m.end() :].lstrip()[:20]
             prev = body[: m.start()].rstrip()[-14:].lower()
-            text_like = re.search(r"(?:since|page|no\.?|kshs\.?|sh\.?|k£)$", prev) or re.match(r"(?:million|years?|per)\b", rest)
+            year = re.fullmatch(r"(?:19|20)\d\d", m.group(1))
+            text_like = prev.endswith("since") and year or re.search(r"(?:page|no\.?|kshs\.?|sh\.?|k£)$", prev) or re.match(r"(?:million|years?|per)\b", rest)
             lines.append((f, "text" if text_like else "furniture"))
     hyphenated = frozenset(w for w in known if "-" in w)
     return Editor({w: n for w, n in known.items() if "-" not in w}, total, hyphenated, rare, lines)
