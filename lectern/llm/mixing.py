@@ -14,7 +14,7 @@ from lectern.llm.tokens import count_tokens
 from lectern.sources.tables import stage
 
 #: Hash buckets of a source: the fraction is filled bucket by bucket, and only the last bucket record by record.
-BUCKETS = 4096
+BUCKETS = 1024
 
 
 def source_name(c: Column) -> Column:
