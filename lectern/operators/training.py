@@ -158,7 +158,7 @@ def upsample(labels: DataFrame, column: str = "label", factor: int = P.UPSAMPLE,
     n = labels.groupBy(column).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(F.lit(1))
     mean = n.select(F.col(column).alias("_c"), (factor * F.sum("_n").over(w) / (F.count("*").over(w) * F.col("_n"))).alias("_mean"))
-    joined = labels.join(F.broadcast(mean), F.col(column).eqNullSafe(F.col("_c")))  # a row for each class
+    joined = labels.join(mean, F.col(column).eqNullSafe(F.col("_c")))  # small sides are broadcast by their measured size
     # inverse of the Poisson distribution by a bounded running sum, exact to double precision
     u = F.rand(seed)
     k = F.sequence(F.lit(0), (F.col("_mean") + 12 * F.sqrt("_mean") + 25).cast("int"))

@@ -26,8 +26,9 @@ def _headers(spark: SparkSession, d: str) -> list[str]:
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    r = _records(spark, d).withColumn("o", F.struct("line", "rec_id"))
-    return lines.split_lines(r, "file", "text", "o")
+    # one exchange on file serves the removal of repeats and every window of a document
+    r = table(spark, d, TALK).select("rec_id", "file", "line", "text").repartition("file").distinct()
+    return lines.split_lines(r.withColumn("o", F.struct("line", "rec_id")), "file", "text", "o")
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:

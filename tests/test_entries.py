@@ -67,6 +67,12 @@ def test_merge_needs_one_exchange(spark):
     assert plan.count("hashpartitioning(doc") == 1 and "Python" not in plan and "Arrow" not in plan
 
 
+def test_whole_parse_needs_one_exchange(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string").repartition(3)
+    plan = models.parse(lines.split_lines(docs), ["papers laid"], fix_words=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == 1 and "Python" not in plan and "Arrow" not in plan
+
+
 def test_headings(spark):
     e = [(1, 1, "header", "BILLS"), (1, 2, "speech", "a"), (1, 3, "subheader", "THE X"), (1, 4, "subsubheader", "Clause 1"), (1, 5, "speech", "b"), (1, 6, "subheader", "PRAYERS THE Y"), (1, 7, "speech", " "), (1, 8, "header", "PAPERS"), (1, 9, "scene", "(c)"), (2, 1, "speech", "d"), (2, 2, None, "E.")]
     df = spark.createDataFrame(e, "doc int, entry int, entry_type string, text string").withColumn("speaker", F.lit(None).cast("string"))
