@@ -19,7 +19,8 @@ def ship(spark: SparkSession) -> None:
     """Give this package to the Python workers, unless they find it on their path as the driver does."""
     app = spark.sparkContext.applicationId
     paths = [os.path.abspath(p) for p in (os.environ.get("PYTHONPATH") or "").split(os.pathsep) if p]
-    if app in _shipped or _ROOT in paths or os.getcwd() == _ROOT:
+    here = spark.sparkContext.master.startswith("local[") and os.getcwd() == _ROOT  # workers then start in the same folder
+    if app in _shipped or _ROOT in paths or here:
         return
     d = tempfile.mkdtemp()  # the driver's copy, which Spark itself hands to the executors
     atexit.register(shutil.rmtree, d, ignore_errors=True)
