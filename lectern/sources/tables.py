@@ -44,8 +44,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors. The files go when
+    the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern-{what}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
