@@ -33,7 +33,9 @@ def sitting_date(c: Column) -> Column:
             tries.append(F.when(F.rlike(w, F.lit(p)), F.concat_ws("-", g(y), F.lpad(months[F.lower(g(m))].cast("string"), 2, "0"), F.lpad(g(d), 2, "0"))))
         return F.coalesce(*tries)
 
-    return F.try_to_date(_first(F.transform(_windows(c, False), one)), "yyyy-MM-dd")
+    # every form holds one of the last two, so the first window with one of these is the first with any
+    some = lambda w: F.rlike(w, F.lit(P.SITTING_DATES[2][0])) | F.rlike(w, F.lit(P.SITTING_DATES[3][0]))
+    return F.try_to_date(_first(F.transform(F.slice(F.filter(_windows(c, False), some), 1, 1), one)), "yyyy-MM-dd")
 
 
 def sitting_time(c: Column, action: str, at_end: bool, fix_midnight: bool = False) -> Column:
@@ -48,7 +50,7 @@ def sitting_time(c: Column, action: str, at_end: bool, fix_midnight: bool = Fals
             h = F.when(F.lower(half).startswith("a") & (h == 12), 0).otherwise(h)
         return F.when(F.rlike(w, F.lit(p)), h * 60 + m)
 
-    return _first(F.transform(_windows(c, at_end), one))
+    return _first(F.transform(F.slice(F.filter(_windows(c, at_end), lambda w: F.rlike(w, F.lit(p))), 1, 1), one))
 
 
 def sitting_meta(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
