@@ -2,7 +2,8 @@
 
 Method: winnowing fingerprints. Each distinct sequence of words gives rolling hashes of WORDS words, of which the
 least in every WINDOW is kept; kept ones are joined across splits. Seeds that are frequent in the corpus are joined
-on the longer run of words around them instead. Collinear seeds of a pair are chained and extended by alignment.
+together with each of the rarest words of their text, of which two texts that are near alike share one, so no pair is
+lost by it. Collinear seeds of a pair are chained and extended by alignment.
 """
 
 from __future__ import annotations
@@ -21,12 +22,15 @@ from pyspark.sql import functions as F
 from lectern.functions import speech
 from lectern.sources.tables import stage
 
-WORDS, WINDOW, LONG, LEAST, SHARE = 6, 4, 12, 28, 0.85
+WORDS, WINDOW, LEAST, SHARE = 6, 4, 28, 0.85
 #: Bytes of a word's hash in a sequence.
 WIDTH = 3
 #: A seed is frequent if it holds more than this share of a third of all words (there are about as many seeds): there
-#: are at most about 1/HOT such seeds.
-HOT = 1e-5
+#: are at most about 1/HOT such seeds. A word with more than this share of all words isn't rare. Both are told from one
+#: text in SAMPLED and decide on cost only, not on what is found.
+HOT, SAMPLED = 1e-5, 8
+#: A seed held by fewer texts isn't frequent, whatever its share.
+FEW = 1000
 
 _JOIN = re.compile(r"(?<=[a-z])[-\xad¬][ \t]*\n\s*|(?<=[a-z])[-\xad¬] +(?=[a-z])")
 # Letters that scanning takes for one another fall together; other signs go.
@@ -95,37 +99,75 @@ def _rolling(w: np.ndarray, k: int) -> np.ndarray:
     return _mix(h)
 
 
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """cid, train, other, seq -> the winnowed fingerprints of each sequence with the longer run around each, its length
-    and its set of words as 64 bits. Works on all sequences of a batch at once."""
+def _winnowed(w: np.ndarray, n: np.ndarray, first: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the kept seeds, without repeats in a row, of sequences of lengths ``n`` that lie one after another."""
+    left = n[row] - (np.arange(len(w)) - first[row])  # words from here on
+    h = np.full(len(w), np.iinfo(np.uint64).max, np.uint64)
+    k = _rolling(w, WORDS)
+    ok = left[: len(k)] >= WORDS
+    h[: len(k)][ok] = k[ok]
+    m = len(w) - WINDOW - WORDS + 2
+    win = np.stack([h[j : m + j] for j in range(WINDOW)])
+    full = left[:m] >= WORDS + WINDOW - 1
+    at = np.unique((np.argmin(win, axis=0) + np.arange(m))[full])
+    _, keep = np.unique(np.stack([row[at].astype(np.uint64), h[at]]), axis=1, return_index=True)
+    return row[at[keep]], h[at[keep]]
+
+
+def _rarest(w: np.ndarray, n: np.ndarray, first: np.ndarray, row: np.ndarray, often: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, word) of the words that come first in each sequence when the frequent ones go last: one more than a text may
+    have words that a near-alike one lacks. Two texts that share SHARE of the longer's words in order share one of them."""
+    at = np.minimum(np.searchsorted(often["word"], w), max(len(often["word"]) - 1, 0))
+    rank = np.where(often["word"][at] == w, often["n"][at], 0) if len(often["word"]) else np.zeros(len(w), np.int64)
+    order = np.lexsort((w, rank, row))
+    lead = np.arange(len(w)) - first[row] <= (n * (1 - SHARE) + 1e-6).astype(np.int64)[row]
+    got = np.unique(np.stack([row[lead].astype(np.uint64), w[order][lead]]), axis=1)
+    return got[0].astype(np.int64), got[1]
+
+
+def _laid(b: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all sequences of a batch one after another; length, start and (per word) row of each."""
+    seqs = b.column(column).to_pylist()
+    n = np.array([len(x) // WIDTH for x in seqs])
+    return _words(b"".join(seqs)).astype(np.uint64), n, np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """seq -> how many sequences of the batch hold each seed, and how often each word occurs (``seed`` false)."""
     for b in batches:
-        if not b.num_rows:
-            continue
-        seqs = b.column(3).to_pylist()
-        n = np.array([len(x) // WIDTH for x in seqs])
-        w = _words(b"".join(seqs)).astype(np.uint64)
-        first = np.cumsum(n) - n
-        row = np.repeat(np.arange(len(n)), n)
-        bits = np.uint64(1) << ((w * _M) >> np.uint64(58))
-        sets = np.bitwise_or.reduceat(bits, first).view(np.int64)
-        place = np.arange(len(w)) - first[row]
-        left = n[row] - place  # words from here on
-        h = np.full(len(w), np.iinfo(np.uint64).max, np.uint64)
-        k = _rolling(w, WORDS)
-        ok = left[: len(k)] >= WORDS
-        h[: len(k)][ok] = k[ok]
-        m = len(w) - WINDOW - WORDS + 2
-        win = np.stack([h[j : m + j] for j in range(WINDOW)])
-        full = left[:m] >= WORDS + WINDOW - 1
-        at = np.unique((np.argmin(win, axis=0) + np.arange(m))[full])
-        _, keep = np.unique(np.stack([row[at].astype(np.uint64), h[at]]), axis=1, return_index=True)
-        at = at[keep]
-        run = _rolling(w, LONG)
-        r = row[at]
-        lo = first[r] + np.clip(place[at] - (LONG - WORDS) // 2, 0, n[r] - LONG)
-        cols = (b.column(0).to_numpy()[r], b.column(1).to_numpy(zero_copy_only=False)[r], b.column(2).to_numpy(zero_copy_only=False)[r], n[r].astype(np.int32), sets[r], h[at].view(np.int64), run[lo].view(np.int64))
-        kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["cid", "train", "other", "n", "words", "fp", "run"])
+        if b.num_rows:
+            w, *rest = _laid(b, 0)
+            for seed, x in ((True, _winnowed(w, *rest)[1]), (False, w)):
+                x, k = np.unique(x, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), seed)), pa.array(x.view(np.int64)), pa.array(k, pa.int64())], ["seed", "x", "k"])
+
+
+def _seeds(hot: np.ndarray, often: dict[str, np.ndarray]):
+    """cid, seq -> the keys on which each sequence is joined, its length and its set of words as 64 bits: its kept seeds;
+    for those in ``hot`` (sorted) the seed with each of its rarest words. Works on all sequences of a batch at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            w, n, first, row = _laid(b, 1)
+            bits = np.uint64(1) << ((w * _M) >> np.uint64(58))
+            sets = np.bitwise_or.reduceat(bits, first).view(np.int64)
+            r, h = _winnowed(w, n, first, row)
+            if len(hot):
+                is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+                rr, rare = _rarest(w, n, first, row, often)
+                per = np.bincount(rr, minlength=len(n))
+                start = np.cumsum(per) - per
+                x, y = r[is_hot], h[is_hot]
+                many = per[x]
+                at = np.repeat(start[x] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                r = np.concatenate([r[~is_hot], np.repeat(x, many)])
+                h = np.concatenate([h[~is_hot], _mix(np.repeat(y, many) * _M + rare[at])])
+            cols = (h.view(np.int64), b.column(0).to_numpy()[r], n[r].astype(np.int32), sets[r])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cid", "n", "words"])
+
+    return run
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -156,9 +198,27 @@ def chained(a: np.ndarray, b: np.ndarray) -> int:
     return covered
 
 
+def _may_match(t: pa.RecordBatch) -> np.ndarray:
+    """Which pairs of a batch (sequences in columns 2 and 3) lack few enough of each other's words by sets of 512 bits; a
+    bit that only one side has is at least one word the other lacks."""
+    out = []
+    for at in range(0, t.num_rows, 4096):
+        part = t.slice(at, 4096)
+        has, size = [], []
+        for c in (2, 3):
+            w, n, _, row = _laid(part, c)
+            has.append(np.zeros((len(n), 512), bool))
+            has[-1][row, (w * _M) >> np.uint64(55)] = True
+            size.append(n)
+        least = SHARE * np.maximum(*size) - 1e-6
+        out.append(((has[0] & ~has[1]).sum(1) <= size[0] - least) & ((has[1] & ~has[0]).sum(1) <= size[1] - least))
+    return np.concatenate(out)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in batches:
         a, b, common_, chain, longer = [], [], [], [], []
+        t = t.filter(pa.array(_may_match(t))) if t.num_rows else t
         for x, y, p, q in zip(*(t.column(i).to_pylist() for i in range(4))):
             u, v = _words(p), _words(q)
             n = max(len(u), len(v))
@@ -189,13 +249,24 @@ def overlap_parts(records: DataFrame, splits: DataFrame, given: frozenset[str])
     use = members.groupBy("cid").agg(F.max("train").alias("train"), F.max(~F.col("train")).alias("other"))
     # texts, and with it every join on cid below, keeps the partitioning of this one aggregate
     texts = rows.groupBy("cid").agg(F.first("seq").alias("seq")).join(use, "cid").select("cid", "train", "other", "seq")
-    seeds = texts.mapInArrow(_seeds, "cid long, train boolean, other boolean, n int, words long, fp long, run long")
-    df = seeds.groupBy("fp").agg(F.count("*").alias("df"))
+    sample = rows.filter(F.pmod("cid", F.lit(SAMPLED)) == 0).groupBy("cid").agg(F.first("seq").alias("seq"))
+    held = sample.select("seq").mapInArrow(_sampled, "seed boolean, x long, k long").groupBy("seed", "x").agg(F.sum("k").alias("k"))
     total = rows.agg(F.sum(F.length("seq")) / WIDTH).first()[0] or 0.0
-    hot = df.filter(F.col("df") > max(50.0, total / 3 * HOT)).select("fp", F.lit(True).alias("hot"))
-    keyed = seeds.join(F.broadcast(hot), "fp", "left").withColumn("key", F.when(F.col("hot"), F.xxhash64("run")).otherwise(F.col("fp"))).select("key", "cid", "train", "other", "n", "words")
-    a = keyed.filter("train").select("key", *(F.col(c).alias(c + "_a") for c in ("cid", "n", "words")))
-    b = keyed.filter("other").select("key", *(F.col(c).alias(c + "_b") for c in ("cid", "n", "words")))
+    # at least so often that few are frequent by chance
+    frequent = held.filter(F.col("k") > F.when(F.col("seed"), max(float(FEW), total / 3 * HOT)).otherwise(max(50.0, total * HOT)) / SAMPLED).toArrow()
+    seed, x, k = (frequent.column(c).to_numpy() for c in ("seed", "x", "k"))
+    x, seed = x.astype(np.int64).view(np.uint64), seed.astype(bool)
+    order = np.argsort(x[~seed])
+    shared = spark.sparkContext.broadcast((np.sort(x[seed]), {"word": x[~seed][order], "n": k[~seed][order]}))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _seeds(*shared.value)(batches)
+
+    def side_keys(which: str, end: str) -> DataFrame:
+        got = texts.filter(which).select("cid", "seq").mapInArrow(keys, "key long, cid long, n int, words long")
+        return got.select("key", *(F.col(c).alias(c + end) for c in ("cid", "n", "words")))
+
+    a, b = side_keys("train", "_a"), side_keys("other", "_b")
     most = F.greatest("n_a", "n_b") * SHARE
     near = (F.least("n_a", "n_b") >= most) & (F.col("cid_a") != F.col("cid_b"))
     for x, y in (("a", "b"), ("b", "a")):

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,42 @@ def test_overlaps_against_brute_force(spark, members):
     assert overlap.overlap_pairs(df.limit(0), sp, given).count() == 0
 
 
+def _longest_run(a, b):
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+        best = max(best, *row)
+    return best
+
+
+def test_overlaps_within_a_large_group_of_near_copies(spark, members, monkeypatch):
+    monkeypatch.setattr(overlap, "FEW", 50, raising=False)  # so that these are frequent
+    # all seeds of the group are frequent; plain seeds are sure to meet on a run of WORDS + WINDOW - 1
+    given, _ = entity_link.register_given(members)
+    rng = random.Random(11)
+    rows = []
+    for g, size in enumerate((28, 40)):
+        base = [f"w{g}x{i}" for i in range(size)]
+        for i in range(240):
+            w = list(base)
+            for at in rng.sample(range(size), 2):
+                w[at] = f"c{g}y{i}z{at}"
+            rows.append((1000 * g + i, "tr" if i % 2 else "de", " ".join(w)))
+    df = spark.createDataFrame(rows, "rec_id long, file string, text string")
+    sp = spark.createDataFrame([("tr", "train"), ("de", "dev")], "file string, split_name string")
+    got = {(r.rec_id_a, r.rec_id_b) for r in overlap.overlap_pairs(df, sp, given).collect()}
+    codes = {}
+    w = {i: (f, [codes.setdefault(x, len(codes)) for x in overlap.plain_words(t, given)]) for i, f, t in rows}
+    near, sure = set(), set()
+    for i, (f, a) in w.items():
+        for j, (g, b) in w.items():
+            if f == "tr" and g == "de" and overlap.common(np.array(a), np.array(b)) >= 0.85 * max(len(a), len(b)):
+                near.add((min(i, j), max(i, j)))
+                if _longest_run(a, b) >= overlap.WORDS + overlap.WINDOW - 1:
+                    sure.add((min(i, j), max(i, j)))
+    assert len(sure) > 20_000 and sure <= got <= near
+
+
 def test_reading_of_lines():
     given = names.given_names(["Oliver Sintor Wernochum"])
     assert speech.split_label("[00:01:02] Mr. Speaker:- x", given)[:2] == ("office", "Mr. Speaker")
