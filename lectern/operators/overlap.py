@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lectern.functions import speech
 from lectern.sources.tables import stage
 
-WORDS, WINDOW, LEAST, SHARE = 6, 4, 28, 0.85
+WORDS, WINDOW, LEAST, SHARE = 6, 3, 28, 0.85
 #: Bytes of a word's hash in a sequence.
 WIDTH = 3
 #: A seed is frequent if it holds more than this share of a third of all words (there are about as many seeds): there
@@ -143,7 +143,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _seeds(hot: np.ndarray, often: dict[str, np.ndarray]):
-    """cid, seq -> the keys on which each sequence is joined, its length and its set of words as 64 bits: its kept seeds;
+    """cid, seq -> the keys on which each sequence is joined, its length and its set of words as 128 bits: its kept seeds;
     for those in ``hot`` (sorted) the seed with each of its rarest words. Works on all sequences of a batch at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +151,9 @@ def _seeds(hot: np.ndarray, often: dict[str, np.ndarray]):
             if not b.num_rows:
                 continue
             w, n, first, row = _laid(b, 1)
-            bits = np.uint64(1) << ((w * _M) >> np.uint64(58))
-            sets = np.bitwise_or.reduceat(bits, first).view(np.int64)
+            bit = (w * _M) >> np.uint64(57)
+            bits = np.uint64(1) << (bit & np.uint64(63))
+            sets = [np.bitwise_or.reduceat(np.where(bit >> np.uint64(6) == j, bits, np.uint64(0)), first).view(np.int64) for j in (0, 1)]
             r, h = _winnowed(w, n, first, row)
             if len(hot):
                 is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
@@ -164,8 +165,8 @@ def _seeds(hot: np.ndarray, often: dict[str, np.ndarray]):
                 at = np.repeat(start[x] - (np.cumsum(many) - many), many) + np.arange(many.sum())
                 r = np.concatenate([r[~is_hot], np.repeat(x, many)])
                 h = np.concatenate([h[~is_hot], _mix(np.repeat(y, many) * _M + rare[at])])
-            cols = (h.view(np.int64), b.column(0).to_numpy()[r], n[r].astype(np.int32), sets[r])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cid", "n", "words"])
+            cols = (h.view(np.int64), b.column(0).to_numpy()[r], n[r].astype(np.int32), sets[0][r], sets[1][r])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cid", "n", "words", "words2"])
 
     return run
 
@@ -263,14 +264,15 @@ def overlap_parts(records: DataFrame, splits: DataFrame, given: frozenset[str])
         yield from _seeds(*shared.value)(batches)
 
     def side_keys(which: str, end: str) -> DataFrame:
-        got = texts.filter(which).select("cid", "seq").mapInArrow(keys, "key long, cid long, n int, words long")
-        return got.select("key", *(F.col(c).alias(c + end) for c in ("cid", "n", "words")))
+        got = texts.filter(which).select("cid", "seq").mapInArrow(keys, "key long, cid long, n int, words long, words2 long")
+        return got.select("key", *(F.col(c).alias(c + end) for c in ("cid", "n", "words", "words2")))
 
     a, b = side_keys("train", "_a"), side_keys("other", "_b")
     most = F.greatest("n_a", "n_b") * SHARE
     near = (F.least("n_a", "n_b") >= most) & (F.col("cid_a") != F.col("cid_b"))
     for x, y in (("a", "b"), ("b", "a")):
-        near = near & (F.bit_count(F.col(f"words_{x}").bitwiseAND(F.bitwise_not(f"words_{y}"))) <= F.col(f"n_{x}") - most)
+        lacks = [F.bit_count(F.col(f"{c}_{x}").bitwiseAND(F.bitwise_not(f"{c}_{y}"))) for c in ("words", "words2")]
+        near = near & (lacks[0] + lacks[1] <= F.col(f"n_{x}") - most)
     pairs = a.join(b, "key").filter(near).select("cid_a", "cid_b").distinct()
     t = texts.select("cid", "seq")
     full = pairs.join(t.select(F.col("cid").alias("cid_a"), F.col("seq").alias("seq_a")), "cid_a").join(t.select(F.col("cid").alias("cid_b"), F.col("seq").alias("seq_b")), "cid_b")

@@ -157,6 +157,19 @@ def test_overlaps_within_a_large_group_of_near_copies(spark, members, monkeypatc
     assert len(sure) > 20_000 and sure <= got <= near
 
 
+def test_overlaps_that_share_eight_words_in_a_row(spark, members):
+    given, _ = entity_link.register_given(members)
+    rows = []
+    for i in range(300):
+        w = [f"w{i}x{j}" for j in range(28)]
+        v = [f"c{i}z{j}" if j in (8, 14, 20, 24) else x for j, x in enumerate(w)]
+        rows += [(2 * i, "tr", " ".join(w)), (2 * i + 1, "de", " ".join(v))]
+    df = spark.createDataFrame(rows, "rec_id long, file string, text string")
+    sp = spark.createDataFrame([("tr", "train"), ("de", "dev")], "file string, split_name string")
+    got = {(r.rec_id_a, r.rec_id_b) for r in overlap.overlap_pairs(df, sp, given).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(300)}
+
+
 def test_reading_of_lines():
     given = names.given_names(["Oliver Sintor Wernochum"])
     assert speech.split_label("[00:01:02] Mr. Speaker:- x", given)[:2] == ("office", "Mr. Speaker")
