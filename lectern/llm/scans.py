@@ -1,9 +1,8 @@
 """Noise in text from scanned pages: broken and misread words, spaced-out words, page furniture.
 
 Method: an averaged-perceptron character editor. For every character of a suspicious word it scores keep, replace,
-delete and insert; at line ends a second perceptron scores join, space and keep. A third one, with features of the
-place on the page, tells bare numbers that are furniture. Corpus-wide word counts decide what is suspicious and which
-edited word is accepted.
+delete and insert. A second one, with features of the place on the page, tells bare numbers that are furniture; line
+ends are joined by rule. Corpus-wide word counts decide what is suspicious and which edited word is accepted.
 """
 
 from __future__ import annotations
@@ -28,6 +27,8 @@ KNOWN, TRUSTED, RARER = 5e-6, 1e-5, 20
 #: Bound of the sample of rare words and of the vocabulary from which the editor is trained.
 SAMPLE, TRAINED = 20_000, 20_000
 SEED = 7
+#: The shortest word that may have a letter lost or added: shorter ones are that near to other words by chance.
+LOST = 5
 
 # Letters (left) and what scanning commonly makes of them.
 CONFUSIONS = (
@@ -135,7 +136,7 @@ class Editor:
         self.known = frozenset(counts)
         self.cache: dict[str, str | None] = {}
         strange = lambda w: any(not c.isalpha() or c in "†ﬁﬂ" for c in w)
-        wrong = {w for w, n in counts.items() if n < 1e-3 * self.total and (len(w) > 3 or strange(w)) and (p := self._edit(w)) and counts[p] >= (1 if strange(w) else 3) * RARER * n}
+        wrong = {w for w, n in counts.items() if n < 1e-3 * self.total and (len(w) > 3 or strange(w)) and (p := self._edit(w, False)) and counts[p] >= (1 if strange(w) else 3) * RARER * n}
         self.known = frozenset(counts.keys() - wrong)
         self.cache = {}
         plain = [w.encode() for w in self.known if w.isascii() and not any(c.isdigit() for c in w) and (len(w) > 1 or w in "ai")]
@@ -196,8 +197,26 @@ class Editor:
                 s[op] = s.get(op, 0.0) + v
         return s
 
-    def _edit(self, w: str) -> str | None:
-        """The trusted word the editor's best operations make of ``w``: up to three edits, the best total first."""
+    def _lost(self, w: str, each: list[dict[str, float]]) -> str | None:
+        """The trusted word that is ``w`` with one letter added or dropped, the best scored first. All places and letters
+        are tried; at the ends of the word, where it may be inflected or cut, only what the editor scores over keep."""
+        best: tuple[float, int, str] | None = None
+        for i in range(len(w)):
+            keep = each[i].get("K", 0.0)
+            ops = [("D", w[:i] + w[i + 1 :])] + [("I:" + c, w[: i + 1] + c + w[i + 1 :]) for c in _LETTERS]
+            for op, x in ops:
+                n = self.counts.get(x, 0)
+                # a letter dropped from a double at the end changes the end
+                inner = 0 < i < len(w) - 1 and x[0] == w[0] and x[-1] == w[-1] and not w.startswith(x) and not w.endswith(x) and not x.startswith(w) and not x.endswith(w)
+                if n >= TRUSTED * self.total and (inner or each[i].get(op, -1.0) > keep):
+                    got = (max(keep - each[i].get(op, -1.0), -5.0), -n, x)
+                    if best is None or got < best:
+                        best = got
+        return best[2] if best else None
+
+    def _edit(self, w: str, lost: bool = True) -> str | None:
+        """The trusted word the editor's best operations make of ``w``: up to three edits, the best total first. One lost
+        or added letter (if ``lost``) comes before two replacements."""
         each = [self._scores(w, i) for i in range(len(w))]
         alts: list[tuple[float, int, int, str]] = []  # cost, place, length, what it becomes
         for i in range(len(w)):
@@ -226,6 +245,8 @@ class Editor:
                         best = got
             if best:
                 return best[2]
+            if k == 1 and lost and len(w) >= LOST and w.isalpha() and (x := self._lost(w, each)):
+                return x
         return None
 
     def correct(self, w: str) -> str | None:
@@ -386,6 +407,7 @@ def paragraphs(text: str) -> str:
     return "\n".join(out)
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _BLANK = bytes.maketrans(bytes(range(33, 39)) + bytes(range(40, 65)) + bytes(range(91, 97)) + bytes(range(123, 127)), b" " * (6 + 25 + 6 + 4))
 _SIGNS = ("[", "Page", "Vol.", "DEBATE", "Debate", "debates", "Replies", "REPLIES", "REPORTS", "copy", "proof")
 _GAP = re.compile(r"[-\xad¬]\s")

@@ -176,6 +176,21 @@ def test_held_out_accuracy(editor):
     assert hit / tried > 0.9
 
 
+def test_held_out_words_with_a_letter_lost_or_added(editor):
+    rng = random.Random(10)
+    words = [w for w in VOCABULARY if len(w) > 5 and "-" not in w]
+    hit = tried = 0
+    for w in words:
+        for _ in range(4):
+            at = rng.randrange(2, len(w) - 2)
+            for noisy in (w[:at] + w[at + 1 :], w[:at] + rng.choice("bdfkpqxz") + w[at:]):
+                if noisy not in VOCABULARY:
+                    tried += 1
+                    hit += editor.fix(f"the {noisy} has")[0] == f"the {w} has"
+    assert hit / tried > 0.9
+    assert editor.fix("the councils has")[1] == 0 and editor.fix("the ouncil has")[1] == 0 and editor.fix("the unmodern has")[1] == 0
+
+
 def test_scan_frame(spark, editor):
     rows = [(1, "Hon. Kimd e shur: the coun-\ncil"), (2, "Hon. Kimdeshur: the council"), (3, None), (4, ""), (5, "- 12 -"), (5, "- 12 -"), (6, "the counci1 " * 3000)]
     df = spark.createDataFrame(rows, "rec_id long, text string").withColumn("noise", F.lit("x"))
