@@ -1,8 +1,9 @@
 """Splits that keep records of one sitting together.
 
-Method: an incremental, persisted table of components. Every file value is linked to the keys read from its name;
-components come from pointer jumping over these links; components that already have a split keep it, new ones fill
-the deficits of the shares, and components that would join two splits are put in quarantine.
+Method: an incremental table of components. Every file value is linked to the keys read from its name; components come
+from pointer jumping over these links; components that already have a split keep it, new ones fill the deficits of the
+shares, and components that would join two splits are put in quarantine. ``update_splits`` keeps the table in a folder
+from batch to batch.
 """
 
 from __future__ import annotations
@@ -66,22 +67,30 @@ def sitting_key(file: str | None, year: float | None) -> str | None:
     return "n" + re.sub(r"[\s_]+", " ", s)
 
 
-def file_years(records: DataFrame) -> DataFrame:
-    """(file, n, year): records of each file value and the year most of them give (the smaller of equals); one partial
-    aggregate before the shuffle, so a hot file costs no more than another."""
-    per = records.groupBy("file", "year").agg(F.count("*").alias("n"))
+def year_counts(records: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """(file, year, n): records of each file value that is not null and year, with those ``state`` has counted before (if
+    it has ``year`` and ``n``); one partial aggregate before the shuffle, so a hot file costs no more than another."""
+    per = records.filter(F.col("file").isNotNull()).groupBy("file", "year").agg(F.count("*").alias("n"))
+    if state is not None and "n" in state.columns:
+        old = state.select("file", F.col("year").cast(records.schema["year"].dataType).alias("year"), "n")
+        per = per.unionByName(old.filter(F.col("file").isNotNull())).groupBy("file", "year").agg(F.sum("n").alias("n"))
+    return per
+
+
+def file_years(counts: DataFrame) -> DataFrame:
+    """(file, n, year) of ``year_counts``: records of each file value and the year most of them give (the smaller of equals)."""
     best = F.max(F.when(F.col("year").isNotNull(), F.struct("n", (-F.col("year")).alias("y"))))
-    return per.groupBy("file").agg(F.sum("n").alias("n"), best.alias("b")).select("file", "n", (-F.col("b.y")).cast("double").alias("year"))
+    return counts.groupBy("file").agg(F.sum("n").alias("n"), best.alias("b")).select("file", "n", (-F.col("b.y")).cast("double").alias("year"))
 
 
-def sitting_links(records: DataFrame) -> DataFrame:
-    """(file, n, key): one row per file value that is not null."""
+def sitting_links(records: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """(file, n, key): one row per file value that is not null, of ``records`` and of a ``state`` with counts."""
 
     @F.pandas_udf("string")
     def key(file: pd.Series, year: pd.Series) -> pd.Series:
         return pd.Series([sitting_key(f, y) for f, y in zip(file, year)], dtype=object)
 
-    return file_years(records.filter(F.col("file").isNotNull())).select("file", "n", key("file", "year").alias("key"))
+    return file_years(year_counts(records, state)).select("file", "n", key("file", "year").alias("key"))
 
 
 def components(links: DataFrame, node: str = "file", key: str = "key", what: str = "components") -> DataFrame:
@@ -109,15 +118,16 @@ def _bucket(c: Column | str) -> Column:
 
 
 def assign_splits(records: DataFrame, state: DataFrame | None = None, shares: dict[str, float] | None = None) -> DataFrame:
-    """(file, n, component, split) for every file value of ``records(file, year)``.
+    """(file, n, component, split) for every file value of ``records(file, year)`` and of a ``state`` with counts.
 
     All files of a component get one split; split sizes in records come as near ``shares`` as whole components allow
     (components of under 1/5000 of all records to within 1/8192 of them). ``state(file, component, split)`` is an
     earlier result: its components keep their split and name, a component that holds files of two splits gets the
-    split 'quarantine'. Null files get no row. An empty table gives an empty result.
+    split 'quarantine'. With ``year`` and ``n`` too (see ``split_table``) it stands for the earlier records: ``records`` are
+    then new ones only, keys and sizes are of both. Without, ``records`` must hold the earlier ones again. Null files get no row. An empty table gives an empty result.
     """
     shares = shares or SHARES
-    links = sitting_links(records)
+    links = sitting_links(records, state)
     edges = links.select("file", "key")
     if state is not None:
         edges = edges.union(state.filter("split <> 'quarantine'").select("file", F.concat(F.lit("s"), "component")))
@@ -125,10 +135,11 @@ def assign_splits(records: DataFrame, state: DataFrame | None = None, shares: di
     sized = links.select("file", "n").join(comp, "file")
     per = sized.groupBy("component").agg(F.sum("n").alias("n"))
     if state is not None:
-        kept = comp.join(state.select("file", "split"), "file").groupBy("component").agg(F.min("split").alias("a"), F.max("split").alias("b"))
+        kept = comp.join(state.select("file", "split", F.col("component").alias("was")), "file").groupBy("component").agg(F.min("split").alias("a"), F.max("split").alias("b"), F.min("was").alias("was"))
         per = per.join(kept, "component", "left").withColumn("kept", F.when(F.col("a") != F.col("b"), "quarantine").otherwise(F.col("a"))).drop("a", "b")
+        per = per.withColumn("was", F.when(F.col("kept") != "quarantine", F.col("was")))
     else:
-        per = per.withColumn("kept", F.lit(None).cast("string"))
+        per = per.withColumn("kept", F.lit(None).cast("string")).withColumn("was", F.lit(None).cast("string"))
     per = stage(per, "sizes")
     spark = records.sparkSession
     total = per.agg(F.sum("n")).first()[0] or 0
@@ -149,8 +160,30 @@ def assign_splits(records: DataFrame, state: DataFrame | None = None, shares: di
     one = spark.createDataFrame(fill(large), "component string, by_name string")
     many = spark.createDataFrame(fill(mass), "b int, by_bucket string")
     placed = per.join(F.broadcast(one), "component", "left").withColumn("b", F.when(F.col("by_name").isNull(), _bucket("component"))).join(F.broadcast(many), "b", "left")
-    placed = placed.select("component", F.coalesce("kept", "by_name", "by_bucket").alias("split"))
-    return sized.join(placed, "component").select("file", "n", "component", "split")
+    placed = placed.select("component", F.coalesce("kept", "by_name", "by_bucket").alias("split"), F.coalesce("was", "component").alias("name"))
+    return sized.join(placed, "component").select("file", "n", F.col("name").alias("component"), "split")
+
+
+def split_table(records: DataFrame, state: DataFrame | None = None, shares: dict[str, float] | None = None) -> DataFrame:
+    """(file, year, n, component, split): what ``assign_splits`` needs as ``state`` for the next batch. The years are kept
+    with their counts, as the key of a file goes by the year most of all its records give."""
+    got = assign_splits(records, state, shares).select("file", "component", "split")
+    return year_counts(records, state).join(got, "file").select("file", "year", "n", "component", "split")
+
+
+def update_splits(records: DataFrame, path: str, shares: dict[str, float] | None = None) -> DataFrame:
+    """(file, n, component, split) of all files so far, after ``records``, a batch of new records, is added to the table kept
+    in the folder ``path``. Each batch writes a version of its own, which counts once it is whole; a batch given twice is
+    counted twice. One batch at a time."""
+    spark = records.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [p.getPath().getName() for p in (fs.listStatus(at) if fs.exists(at) else ())]
+    done = sorted(v for v in done if re.fullmatch(r"v\d{9}", v) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{v}/_SUCCESS")))
+    table = split_table(records, spark.read.parquet(f"{path}/{done[-1]}") if done else None, shares)
+    new = f"{path}/v{int(done[-1][1:]) + 1 if done else 1:09d}"
+    table.write.mode("overwrite").parquet(new)
+    return spark.read.schema(table.schema).parquet(new).groupBy("file", "component", "split").agg(F.sum("n").alias("n")).select("file", "n", "component", "split")
 
 
 def sitting_pairs(records: DataFrame) -> DataFrame:

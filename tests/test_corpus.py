@@ -50,6 +50,28 @@ def test_assign_splits(spark):
     assert back["Vol 3 No. 3"] == back["vol_3_num_3.txt"] == "quarantine"
 
 
+def test_splits_of_a_batch_of_new_records(spark, tmp_path):
+    path = f"file://{tmp_path}/splits"
+    first = splits.update_splits(_records(spark, [[]] + [[(f"Vol {g} No. {g}", 10 + g % 7)] for g in range(1, 60)]), path).collect()
+    old = {r.file: r for r in first}
+    # new spellings only, some without a year or before the old name in order, and new sittings
+    rows = [(f"{g} VOL - NUMBR {g}", 1970 + g) for g in range(1, 30)] + [("Vol 40 No. 40", None)] * 3 + [(f"vol_{g}_num_{g}.txt", 1970 + g) for g in range(60, 90) for _ in range(12)] + [(None, 1970)]
+    got = splits.update_splits(spark.createDataFrame(rows, "file string, year int"), path).collect()
+    by = {r.file: r for r in got}
+    assert len(got) == len(by) == 59 + 29 + 30
+    for f, r in old.items():
+        assert (by[f].split, by[f].component, by[f].n) == (r.split, r.component, r.n + 3 * (f == "Vol 40 No. 40"))
+    for g in range(1, 30):
+        assert (by[f"{g} VOL - NUMBR {g}"].split, by[f"{g} VOL - NUMBR {g}"].component) == (old[f"Vol {g} No. {g}"].split, old[f"Vol {g} No. {g}"].component)
+    total = sum(r.n for r in got)
+    assert total == sum(r.n for r in first) + len(rows) - 1
+    for s, want in splits.SHARES.items():
+        assert abs(sum(r.n for r in got if r.split == s) / total - want) < 0.03
+    # a third batch still knows the first one
+    third = {r.file: r for r in splits.update_splits(spark.createDataFrame([("Volume 50, Number 50", 2020)], "file string, year int"), path).collect()}
+    assert len(third) == 119 and third["Volume 50, Number 50"].split == old["Vol 50 No. 50"].split
+
+
 def test_splits_of_nothing(spark):
     empty = spark.createDataFrame([], "file string, year int")
     assert splits.assign_splits(empty).count() == 0 and splits.sitting_pairs(empty).count() == 0
