@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -126,6 +126,7 @@ class Editor:
         self.total = max(total, 1)
         self.counts = counts
         self.hyphenated = hyphenated
+        self.trusted = sorted(w for w, n in counts.items() if n >= TRUSTED * self.total)
         self._train(rare)
         page = Perceptron()
         for _ in range(3):
@@ -218,31 +219,36 @@ class Editor:
         """The trusted word the editor's best operations make of ``w``: up to three edits, the best total first. One lost
         or added letter (if ``lost``) comes before two replacements."""
         each = [self._scores(w, i) for i in range(len(w))]
-        alts: list[tuple[float, int, int, str]] = []  # cost, place, length, what it becomes
+        alts: list[list[tuple[float, int, str]]] = [[] for _ in w]  # at each place: cost, length, what it becomes
         for i in range(len(w)):
             for wrong, rights in self.spans.get(w[i], ()):
                 if w.startswith(wrong, i):
                     for right in rights:
                         ops = ["R:" + right if right else "D"] + ["D"] * (len(wrong) - 1)
-                        alts.append((sum(each[i + j].get("K", 0.0) - each[i + j].get(op, -1.0) for j, op in enumerate(ops)), i, len(wrong), right))
-        alts.sort()
-        least = TRUSTED * self.total
-        best: tuple[float, int, str] | None = None
+                        cost = sum(each[i + j].get("K", 0.0) - each[i + j].get(op, -1.0) for j, op in enumerate(ops))
+                        alts[i].append((max(cost, -5.0), len(wrong), right))
+        words = self.trusted
         for k in (1, 2, 3):
-            for combo in combinations(alts[: (60, 14, 8)[k - 1]], k):
-                combo = tuple(sorted(combo, key=lambda c: c[1]))
-                if any(x[1] + x[2] > y[1] for x, y in zip(combo, combo[1:])):
+            best: tuple[float, int, str] | None = None
+            # what is made of the word up to a place, with the edits left; only beginnings of trusted words go on
+            todo = [(0, "", k, 0.0)]
+            while todo:
+                i, x, more, cost = todo.pop()
+                if x:
+                    at = bisect_left(words, x)
+                    if at == len(words) or not words[at].startswith(x):
+                        continue
+                if i == len(w) or not more:
+                    x += w[i:]
+                    if not more and x != w and len(x) > 1:
+                        at = bisect_left(words, x)
+                        if at < len(words) and words[at] == x:
+                            got = (cost, -self.counts[x], x)
+                            if best is None or got < best:
+                                best = got
                     continue
-                x, at = "", 0
-                for _, i, n, right in combo:
-                    x += w[at:i] + right
-                    at = i + n
-                x += w[at:]
-                n = self.counts.get(x, 0)
-                if n >= least and x != w and len(x) > 1:
-                    got = (sum(max(c[0], -5.0) for c in combo), -n, x)
-                    if best is None or got < best:
-                        best = got
+                todo.append((i + 1, x + w[i], more, cost))
+                todo += [(i + n, x + right, more - 1, cost + c) for c, n, right in alts[i]]
             if best:
                 return best[2]
             if k == 1 and lost and len(w) >= LOST and w.isalpha() and (x := self._lost(w, each)):

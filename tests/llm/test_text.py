@@ -1,6 +1,7 @@
 """Text operators: turns, encodings, scans, tokens, mixing, sentences, with the dirty cases."""
 
 import random
+from itertools import combinations
 
 import pytest
 from hypothesis import given as hgiven
@@ -191,6 +192,19 @@ def test_held_out_words_with_a_letter_lost_or_added(editor):
     assert editor.fix("the councils has")[1] == 0 and editor.fix("the ouncil has")[1] == 0 and editor.fix("the unmodern has")[1] == 0
 
 
+def test_all_sets_of_three_misread_letters_are_tried():
+    words = ["constituency", "administration", "institutional", "misinformation"]
+    ed = scans.Editor(dict.fromkeys(words, 1000), 100_000, frozenset(), [], [])
+    for w in words:
+        one = [(i, b) for i, c in enumerate(w) for a, b in scans.CONFUSIONS if a == c and len(b) == 1 and b.isalpha() and b.isascii()]
+        for x, y, z in combinations(one, 3):
+            if len({x[0], y[0], z[0]}) == 3:
+                noisy = list(w)
+                for i, b in (x, y, z):
+                    noisy[i] = b
+                assert ed._edit("".join(noisy)) == w
+
+
 def test_scan_frame(spark, editor):
     rows = [(1, "Hon. Kimd e shur: the coun-\ncil"), (2, "Hon. Kimdeshur: the council"), (3, None), (4, ""), (5, "- 12 -"), (5, "- 12 -"), (6, "the counci1 " * 3000)]
     df = spark.createDataFrame(rows, "rec_id long, text string").withColumn("noise", F.lit("x"))
