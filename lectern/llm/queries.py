@@ -1,11 +1,12 @@
-"""Queries of the text problems."""
+"""The pN_ queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from lectern.llm import encoding, mixing, scans, sentences, tokens, turns
-from lectern.operators.entity_link import register_given, resolver
+from lectern.llm import encoding, entity_link, mixing, overlap, scans, sentences, splits, tokens, turns
+from lectern.llm.entity_link import register_given, resolver
 from lectern.sources.tables import table
 
 LABELS = "speaker_name_hand_labels_w_text20"
@@ -47,6 +48,36 @@ def p3_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scans(spark, sf_dir).distinct()
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.sitting_pairs(table(spark, sf_dir, LABELS).select("file", "year"))
+
+
+def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.assign_splits(table(spark, sf_dir, LABELS).select("file", "year"))
+
+
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = p4_splits(spark, sf_dir).groupBy("split").agg(F.sum("n").alias("records"), F.countDistinct("component").alias("sittings"))
+    return got.withColumn("share", F.round(F.col("records") / F.sum("records").over(Window.partitionBy()), 6))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_link.link_names(table(spark, sf_dir, LABELS), table(spark, sf_dir, "members"))
+
+
+def _overlap_input(spark: SparkSession, sf_dir: str):
+    given, _ = entity_link.register_given(table(spark, sf_dir, "members"))
+    return table(spark, sf_dir, LABELS), table(spark, sf_dir, "file_splits"), given
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlap_pairs(*_overlap_input(spark, sf_dir))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlap_report(*_overlap_input(spark, sf_dir))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -63,5 +94,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_repair, p3_found, p3_repair, p7_ids, p8_mix, p8_shares, p9_found)}
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_turns, p2_found, p2_repair, p3_found, p3_repair, p4_found, p4_splits, p4_shares, p5_found, p6_found, p6_report, p7_ids, p8_mix, p8_shares, p9_found)
+}
 SQL: dict[str, str] = {}

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions import speech
-from lectern.functions.names import edits
+from lectern.llm import speech
+from lectern.llm.names import edits
 from lectern.llm.encoding import repair
 
 #: A word is known if it makes up this share of all words (so at most 1/KNOWN are), and may be what a misread one

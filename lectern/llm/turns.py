@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions import names, speech
-from lectern.functions.speech import has_words, is_heading, spoken, split_label
+from lectern.llm import names, speech
+from lectern.llm.speech import has_words, is_heading, spoken, split_label
 from lectern.llm.encoding import repair
-from lectern.operators.entity_link import Resolver
+from lectern.llm.entity_link import Resolver
 from lectern.sources.tables import stage
 
 #: Line numbers of a file that one task reads together; a file of any size is cut into such blocks.

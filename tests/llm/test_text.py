@@ -9,9 +9,9 @@ from hypothesis import settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lectern.functions import names, speech
+from lectern.llm import names, speech
 from lectern.llm import encoding, mixing, scans, sentences, tokens, turns
-from lectern.operators.entity_link import Resolver
+from lectern.llm.entity_link import Resolver
 
 GIVEN = names.given_names(["Oliver Sintor Wernochum", "Daniel Fumbel Kimdeshur", "Dorothy Jumbar Nenalre"])
 HEADERS = frozenset({"papers laid"})
