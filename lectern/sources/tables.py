@@ -35,9 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder all executors share, from ``spark.checkpoint.dir``. Where that is unset: a folder of this machine if the
+    session runs on it alone, else an error, as executors would write to disks of their own."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not got:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         got = "file://" + os.path.join(tempfile.gettempdir(), f"lectern-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", got)
     return got
