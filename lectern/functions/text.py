@@ -171,42 +171,53 @@ def truncate(text: Column, context: Column, limit: int = P.MAX_CHARS) -> Column:
     return F.struct(F.substring(text, 1, limit).alias("text"), F.when(n > limit, "").otherwise(F.left(context, F.lit(limit) - n)).alias("context"))
 
 
-def header_words_udf(dictionary: frozenset[str] = frozenset()):
-    """Arrow UDF that puts the words of a small-letter heading right: signs and single letters set apart by scanning go
-    back to their words, blanks around hyphens and brackets are made even. ``dictionary`` decides on the word a."""
-
-    @F.pandas_udf(T.StringType())
-    def fix(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else fix_header_words(x, dictionary))
-
-    return fix
-
-
-_OPEN, _SHUT = re.escape("([{"), re.escape("!),.:;?]}")
-
-
-def fix_header_words(text: str, dictionary: frozenset[str] = frozenset()) -> str:
-    """As in ``header_words_udf``, for one text."""
-    text = re.sub(r"(.) ' ([A-z])([A-z]) ([A-z]+)", r"\1'\2 \3\4", text.lower())
-    done: list[str] = []
-    todo = re.split(r"\s+", text)[::-1]
-    while todo:
-        w = todo.pop()
-        core = re.sub(r"\W", "", w)
-        if done and w in ("'", "-"):
-            done[-1] += w
-            continue
-        if len(core) == 1 and not re.search(rf".+[{_SHUT}]$", w):
-            if done and core == "s" and done[-1].endswith("'"):
-                done[-1] += w
-                continue
-            if todo and (core != "a" or todo[-1] in ("mend", "id", "rid", "ward", "broad") or todo[-1] not in dictionary):
-                w += todo.pop()
-            elif core == "a" and done and done[-1] not in dictionary:
-                done[-1] += w
-                continue
-        done.append(w)
-    text = re.sub(r"\s+", " ", " ".join(done)).strip().replace(" -", "-").replace("- ", "-")
-    text = re.sub(rf"([{_OPEN}]) ", r"\1", text)
-    text = re.sub(rf" ([{_SHUT}])", r"\1", text)
-    return re.sub(rf"([{_SHUT}])(\w+)", r"\1 \2", text)
+# What a lone letter a before is always one word with; the apostrophe that scanning set apart.
+_A_WORDS = ("mend", "id", "rid", "ward", "broad")
+_APOSTROPHE = r"(.) ' ([A-z])([A-z]) ([A-z]+)"
+_CLOSING = r"[!),.:;?\]}]"
+
+
+def fix_header_words(c: Column, dictionary: frozenset[str] | set[str] | list[str] = frozenset()) -> Column:
+    """The words of a heading in small letters put right, JVM-side: signs and single letters that scanning set apart go
+    back to their words, blanks around hyphens and brackets are made even, one follows a closing sign.
+
+    A single letter waits for the next word and goes before it; s after an apostrophe and lone signs go to the word before.
+    The letter a goes forward only to one of a few words or to what is not in ``dictionary``, else back to a word that is
+    not in it, else it stays. The dictionary becomes a literal: give it the words that headings use, not a whole language.
+    Null gives null, blank text the empty one.
+    """
+    known = F.array(*(F.lit(w) for w in sorted(dictionary))) if dictionary else F.array().cast("array<string>")
+    starts = F.array(*(F.lit(w) for w in _A_WORDS))
+    nothing = F.lit(None).cast("string")
+
+    def glue(done: Column, w: Column) -> Column:
+        return F.concat(F.coalesce(done, F.lit("")), w)
+
+    def follow(done: Column, w: Column) -> Column:
+        return F.when(done.isNull(), w).otherwise(F.concat(done, F.lit(" "), w))
+
+    def state(done: Column, waiting: Column = nothing) -> Column:
+        return F.struct(done.alias("done"), waiting.alias("waiting"))
+
+    def core(w: Column) -> Column:
+        return F.regexp_replace(w, r"\W", "")
+
+    def settle(done: Column, letter: Column) -> Column:
+        """A waiting letter that no word takes."""
+        back = (core(letter) == "a") & done.isNotNull() & ~F.array_contains(known, F.substring_index(done, " ", -1))
+        return F.when(back, glue(done, letter)).otherwise(follow(done, letter))
+
+    def read(done: Column, w: Column) -> Column:
+        single = (F.char_length(core(w)) == 1) & ~F.rlike(w, F.lit(rf".{_CLOSING}$"))
+        to_last = w.isin("'", "-") | single & (core(w) == "s") & done.endswith("'")
+        return F.when(done.isNotNull() & to_last, state(glue(done, w))).when(single, state(done, w)).otherwise(state(follow(done, w)))
+
+    def step(s: Column, w: Column) -> Column:
+        done, letter = s["done"], s["waiting"]
+        takes = (core(letter) != "a") | F.array_contains(starts, w) | ~F.array_contains(known, w)
+        return F.when(letter.isNull(), read(done, w)).when(takes, state(follow(done, F.concat(letter, w)))).otherwise(read(settle(done, letter), w))
+
+    words = F.split(F.regexp_replace(strip(F.lower(c)), _APOSTROPHE, r"$1'$2 $3$4"), r"\s+")
+    text = F.aggregate(words, state(nothing), step, lambda s: F.when(s["waiting"].isNull(), s["done"]).otherwise(settle(s["done"], s["waiting"])))
+    text = F.regexp_replace(text, rf"(?<=[-(\[{{]) | (?=-|{_CLOSING})", "")
+    return F.regexp_replace(text, rf"(?<={_CLOSING})(?=\w)", " ")

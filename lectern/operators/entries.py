@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import clean_text, header_words_udf
+from lectern.functions.text import clean_text, fix_header_words
 from lectern.operators.spans import parse_speaker
 
 ENTRY = ("appointment", "entry_type", "header", "page_number", "speaker", "speaker_cleaned", "subheader", "subsubheader", "text", "title")
@@ -54,13 +54,13 @@ def merge_entries(lines: DataFrame) -> DataFrame:
 def distribute_headers(entries: DataFrame, fix_words: bool = False, dictionary: frozenset[str] = frozenset()) -> DataFrame:
     """``entries`` cleaned, with header, subheader and subsubheader carried forward; heading rows lose their own text.
 
-    A heading resets the levels below it. ``fix_words`` also repairs the words of headings (an Arrow UDF).
+    A heading resets the levels below it. ``fix_words`` also repairs the words of headings.
     """
     head = F.col("entry_type").isin("header", "subheader")
     text = clean_text(F.col("text"))
     low = F.lower(text)
     if fix_words:
-        low = F.when(head, header_words_udf(dictionary)(F.when(head, low)))
+        low = fix_header_words(low, dictionary)
     low = F.regexp_replace(low, r"(?is)^prayers?\s+(.+)\z", "$1")
     e = entries.withColumn("text", F.when(head, low).otherwise(text))
     w = Window.partitionBy("doc").orderBy("entry")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lectern.functions import patterns as P
-from lectern.functions.text import clean_speaker_name, span2bio, strip
+from lectern.functions.text import clean_speaker_name, clean_text, parenth_name, rm_punct, span2bio, strip
 
 
 def _w() -> WindowSpec:
@@ -124,14 +124,28 @@ def parse_speaker(c: Column) -> Column:
     return F.struct(strip(title).alias("title"), name.alias("name"), strip(appt).alias("appointment"))
 
 
+# Titles of the older form, each followed by a blank but for three.
+LEGACY_TITLES = (
+    "mr ", "bw ", "ms ", "bi ", "hon ", "capt ", "mrs ", "dr ", "prof ", "gen ", "maj-gen ", "maj ", "major ", "an hon", "a hon", "eng ", "engineer ", "col ", "rtd ", "rev ",
+    "sen ", "mheshimiwa",
+)
+
+
 def legacy_parse(c: Column) -> Column:
-    """(name, title, appointment) the older way: small letters, an office in brackets, no punctuation, titles from a list."""
-    low = F.lower(strip(c))
-    appt = F.nullif(strip(F.regexp_extract(low, r"\(([^()]*)\)", 1)), F.lit(""))
-    bare = F.regexp_replace(F.regexp_replace(low, r"\([^()]*\)", " "), P.PUNCT, "")
-    bare = strip(F.regexp_replace(bare, r"\s+", " "))
-    p = r"^(mr|mrs|ms|dr|prof|hon|capt|col|gen|maj|eng|rev|sen|bishop|bw|bi|mheshimiwa) (.+)\z"
-    title = F.nullif(F.regexp_extract(bare, p, 1), F.lit(""))
-    name = F.when(title.isNotNull(), F.regexp_extract(bare, p, 2)).otherwise(bare)
-    office = F.coalesce(F.rlike(name, F.lit("speaker|minister|members")), F.lit(False))
-    return F.struct(F.when(~office, F.nullif(name, F.lit(""))).alias("name"), title.alias("title"), F.when(office & appt.isNull(), name).otherwise(appt).alias("appointment"))
+    """(name, title, appointment) the older way, in small letters and without signs of punctuation.
+
+    What the last bracket to close holds is taken as the name and what stands before it as the appointment, so an office
+    in brackets ends as the appointment and the name before it is lost. A name with speaker, minister or members in it is
+    the appointment. Null gives nulls.
+    """
+    low = F.lower(clean_speaker_name(c))
+    parts = parenth_name(low, at_begin=False)
+    bracket = low.contains("(")
+    name = rm_punct(F.when(bracket, parts["inside"]).otherwise(low))
+    appt = rm_punct(F.when(bracket, parts["outside"]))
+    titled = rf"(?s)^\s*({'|'.join(LEGACY_TITLES)})(.+)"
+    has = F.rlike(name, F.lit(titled))
+    title = F.when(has, strip(F.regexp_extract(name, titled, 1)))
+    bare = F.when(has, strip(F.regexp_extract(name, titled, 2))).otherwise(name)
+    office = F.rlike(bare, F.lit("speaker|minister|members"))
+    return F.struct(clean_text(F.when(~office, bare)).alias("name"), clean_text(title).alias("title"), clean_text(F.when(office, bare).otherwise(appt)).alias("appointment"))

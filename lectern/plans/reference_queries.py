@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,13 +171,18 @@ def entries_full(spark, d):
     return models.parse(_lines(spark, d), _headers(spark, d), fix_words=False)
 
 
+def _heading_words(spark: SparkSession, d: str) -> list[str]:
+    """The words of the known headings, as the dictionary that tells words from pieces of words."""
+    return sorted({w for h in _headers(spark, d) for w in re.findall("[a-z]{2,}", h)})
+
+
 def entries_fixed(spark, d):
-    return models.parse(_lines(spark, d), _headers(spark, d))
+    return models.parse(_lines(spark, d), _headers(spark, d), dictionary=frozenset(_heading_words(spark, d)))
 
 
 def fix_header_words(spark, d):
     l = labels.label_lines(_lines(spark, d), _headers(spark, d)).filter(F.col("label").isin("header", "subheader"))
-    return l.select("doc", "line_no", text.header_words_udf()(F.lower("text")).alias("fixed"))
+    return l.select("doc", "line_no", text.fix_header_words(F.col("text"), _heading_words(spark, d)).alias("fixed"))
 
 
 def parse_diagnostics(spark, d):
@@ -201,7 +208,7 @@ def line_context_4(spark, d):
 def truncate_2048(spark, d):
     t = text.truncate(F.col("text"), F.col("context"))
     l = lines.line_context(lines.split_lines(table(spark, d, "documents")))
-    return l.select("doc", "line_no", F.char_length(t["text"]).alias("text_chars"), F.char_length(t["context"]).alias("context_chars"))
+    return l.select("doc", "line_no", F.char_length(t["text"]).alias("text_chars"), F.md5(F.concat(t["text"], F.lit("|"), t["context"])).alias("cut"))
 
 
 def _short(texts: list[str], contexts: list[str]) -> list[int]:
@@ -230,7 +237,7 @@ def span_quality(spark, d):
 
 def bio_tokens(spark, d):
     s = training.with_bio(training.default_spans(table(spark, d, TALK).select("rec_id", "text", "start", "end").distinct()))
-    return s.select("rec_id", F.left(text.spaced(F.col("bio")), F.lit(80)).alias("spaced"), F.md5(F.array_join(text.bio_codes(F.col("bio")).cast("array<string>"), " ")).alias("codes"))
+    return s.select("rec_id", text.spaced(F.col("bio")).alias("spaced"), F.md5(F.array_join(text.bio_codes(F.col("bio")).cast("array<string>"), " ")).alias("codes"))
 
 
 def encode_chars(spark, d):
@@ -547,14 +554,46 @@ SELECT doc, strftime(d + to_minutes(coalesce(a, 0)), '%Y-%m-%d %H:%M') AS starts
 
 
 def _legacy_sql() -> str:
-    p = r"^(mr|mrs|ms|dr|prof|hon|capt|col|gen|maj|eng|rev|sen|bishop|bw|bi|mheshimiwa) (.+)\z"
-    paren = r"\([^()]*\)"
-    return f"""WITH {_NAMED}, l0 AS (SELECT DISTINCT speaker, lower({_strip('speaker')}) AS low FROM named WHERE speaker IS NOT NULL),
-l1 AS (SELECT speaker, nullif({_strip(_ext('low', chr(92) + '(([^()]*)' + chr(92) + ')', 1))}, '') AS appt, {_strip(_rep(_rep(_rep('low', paren, ' '), P.PUNCT), chr(92) + 's+', ' '))} AS bare FROM l0),
-l2 AS (SELECT *, nullif({_ext('bare', p, 1)}, '') AS title FROM l1),
-l3 AS (SELECT *, CASE WHEN title IS NOT NULL THEN {_ext('bare', p, 2)} ELSE bare END AS nm FROM l2),
-l4 AS (SELECT *, coalesce(regexp_matches(nm, 'speaker|minister|members'), false) AS office FROM l3)
-SELECT speaker, CASE WHEN NOT office THEN nullif(nm, '') END AS name, title, CASE WHEN office AND appt IS NULL THEN nm ELSE appt END AS appointment FROM l4"""
+    # typed from the rules: wrapping signs, the bracket, punctuation, a title from the list, offices
+    punct = r"[!-/:-@\[-`{-~]"
+    titles = "mr |bw |ms |bi |hon |capt |mrs |dr |prof |gen |maj-gen |maj |major |an hon|a hon|eng |engineer |col |rtd |rev |sen |mheshimiwa"
+    rest = _strip(f"regexp_extract(n1, '(?s)^{chr(92)}s*({titles})(.+)', 2)")
+    return f"""WITH {_NAMED}, l0 AS (SELECT DISTINCT speaker, regexp_replace(speaker, '\\s+', ' ', 'g') AS even FROM named WHERE speaker IS NOT NULL),
+l1 AS (SELECT speaker, lower(CASE WHEN regexp_matches(even, '^{punct}(.*){punct}$') THEN substr(even, 2, length(even) - 2) ELSE even END) AS low FROM l0),
+l2 AS (SELECT *, contains(low, '(') AND regexp_matches(low, '(?s)[(].+[)]') AS hit FROM l1),
+l3 AS (SELECT *, CASE WHEN hit THEN ltrim(regexp_extract(low, '(?s)^(.*)[(](.+)[)]', 2)) ELSE low END AS n0, CASE WHEN hit THEN trim(regexp_extract(low, '(?s)^(.*)[(](.+)[)]', 1)) WHEN contains(low, '(') THEN low END AS a0 FROM l2),
+l4 AS (SELECT *, regexp_replace(n0, '{punct}', '', 'g') AS n1, regexp_replace(a0, '{punct}', '', 'g') AS a1 FROM l3),
+l5 AS (SELECT *, CASE WHEN regexp_matches(n1, '(?s)^\\s*({titles}).') THEN regexp_extract(n1, '(?s)^\\s*({titles})(.+)', 1) END AS t1 FROM l4),
+l6 AS (SELECT *, CASE WHEN t1 IS NULL THEN n1 ELSE {rest} END AS n2, {_strip('t1')} AS t2 FROM l5),
+l7 AS (SELECT *, (contains(n2, 'speaker') OR contains(n2, 'minister') OR contains(n2, 'members')) AS office FROM l6)
+SELECT speaker, CASE WHEN NOT office THEN {_clean('n2')} END AS name, {_clean('t2')} AS title, CASE WHEN office THEN {_clean('n2')} ELSE {_clean('a1')} END AS appointment FROM l7"""
+
+
+def _words_sql(src: str, raw: str) -> str:
+    """fixed(raw, fixed): the heading words of ``src`` put right, word by word with a look at the next one."""
+    prev, nxt, x, b = "d[len(d)]", "w[i + 1]", "w[i]", chr(92)
+    core = f"regexp_replace({x}, '[^A-Za-z0-9_]', '', 'g')"
+    single = f"(length({core}) = 1 AND NOT regexp_matches({x}, '.+[!),.:;?{b}]}}]$'))"
+    known = "(SELECT list(DISTINCT k) FROM (SELECT unnest(regexp_extract_all(header, '[a-z]{2,}')) AS k FROM headers))"
+    quote = _q("'")
+    last = f"(len(d) > 0 AND {x} IN ({quote}, '-') OR {single} AND len(d) > 0 AND {core} = 's' AND ends_with({prev}, {quote}))"
+    on = f"({single} AND {nxt} IS NOT NULL AND ({core} <> 'a' OR {nxt} IN ('mend', 'id', 'rid', 'ward', 'broad') OR NOT list_contains(known, {nxt})))"
+    back = f"({single} AND {core} = 'a' AND len(d) > 0 AND NOT list_contains(known, {prev}))"
+    glue = f"list_append(d[1:len(d) - 1], {prev} || {x})"
+    start = _rep(_strip("raw"), "(.) ' ([A-z])([A-z]) ([A-z]+)", f"{b}1'{b}2 {b}3{b}4")
+    return f"""raws AS (SELECT DISTINCT {raw} AS raw FROM {src} WHERE {raw} IS NOT NULL),
+walk AS (SELECT raw, string_split_regex({start}, '{b}s+') AS w, 1 AS i, []::VARCHAR[] AS d, {known} AS known FROM raws
+  UNION ALL SELECT raw, w, CASE WHEN {last} THEN i + 1 WHEN {on} THEN i + 2 ELSE i + 1 END AS i, CASE WHEN {last} THEN {glue} WHEN {on} THEN list_append(d, {x} || {nxt}) WHEN {back} THEN {glue} ELSE list_append(d, {x}) END AS d, known FROM walk WHERE i <= len(w)),
+joined AS (SELECT raw, replace(replace(array_to_string(d, ' '), ' -', '-'), '- ', '-') AS j FROM walk WHERE i > len(w)),
+fixed AS (SELECT raw, regexp_replace(regexp_replace(regexp_replace(j, '([({b}[{{]) ', '{b}1', 'g'), ' ([!),.:;?{b}]}}])', '{b}1', 'g'), '([!),.:;?{b}]}}])([A-Za-z0-9_]+)', '{b}1 {b}2', 'g') AS fixed FROM joined)"""
+
+
+def _fixed_entries_sql() -> str:
+    plain = _rep("lower(c)", r"(?is)^prayers?\s+(.+)\z", r"\1")
+    head, rest = _FULL.removeprefix("WITH ").split("h1 AS (SELECT *, ")
+    rest = "h1 AS (SELECT h0.*, " + rest.replace(plain, plain.replace("lower(c)", "fixed.fixed"), 1).replace("FROM h0),", "FROM h0 LEFT JOIN fixed ON fixed.raw = lower(h0.c)),", 1)
+    heads = "(SELECT lower(c) AS low FROM h0 WHERE entry_type IN ('header', 'subheader'))"
+    return f"WITH RECURSIVE {head}{_words_sql(heads, 'low')}, {rest}"
 
 
 _HYBRID = f"""hyb0 AS (SELECT *, (s IS NULL AND flag = 1 AND length(scan) < 200 AND regexp_matches(scan, '[A-Za-z]')) AS whole FROM flagged),
@@ -592,13 +631,16 @@ SELECT doc, line_no, CASE WHEN speaker IS NOT NULL THEN string_agg(speaker, ' ')
     "merge_entries": f"WITH {_MERGED} SELECT doc, entry, entry_type, speaker, text FROM merged",
     "distribute_headers": f"WITH {_HEADED} SELECT doc, entry, entry_type, header, subheader, subsubheader, text FROM headed",
     "entries_full": _FULL,
+    "entries_fixed": _fixed_entries_sql(),
+    "fix_header_words": f"WITH RECURSIVE {_LABELLED0}, heads AS (SELECT doc, line_no, lower(text) AS low FROM labelled0 WHERE label IN ('header', 'subheader')), {_words_sql('heads', 'low')} SELECT doc, line_no, fixed FROM heads JOIN fixed ON raw = low",
+    "speech_only_predict": f"WITH {_LABELLED} SELECT doc, line_no, CASE WHEN label = 'speech' AND length(text) < 60 THEN 1 ELSE 0 END AS has_speaker FROM labelled",
     "parse_diagnostics": f"WITH {_NAMED} SELECT doc, count(*) AS lines, count(CASE WHEN label IS NULL THEN 1 END) AS unlabeled, count(DISTINCT label) AS labels FROM named GROUP BY doc",
     "sitting_metadata": _sitting_sql(),
     "line_context_4": f"WITH {_LINES}, c AS ({_context_sql('lines', 'doc', 'line_no')}) SELECT doc, line_no, prev_context, next_context FROM c",
-    "truncate_2048": f"WITH {_DOC_LINES}, c AS ({_context_sql('lines', 'doc', 'line_no')}), x AS (SELECT doc, line_no, text, prev_context || chr(10) || next_context AS context FROM c) SELECT doc, line_no, least(length(text), 2048) AS text_chars, CASE WHEN length(text) > 2048 THEN 0 ELSE least(length(context), 2048 - length(text)) END AS context_chars FROM x",
+    "truncate_2048": f"WITH {_DOC_LINES}, c AS ({_context_sql('lines', 'doc', 'line_no')}), x AS (SELECT doc, line_no, text, prev_context || chr(10) || next_context AS context FROM c) SELECT doc, line_no, least(length(text), 2048) AS text_chars, md5(left(text, 2048) || '|' || CASE WHEN length(text) > 2048 THEN '' ELSE left(context, 2048 - length(text)) END) AS cut FROM x",
     "span2bio_bio2span": f"WITH {_SPAN} SELECT rec_id, s AS start, e AS \"end\", bio, CASE WHEN regexp_matches(bio, '[BI]') THEN length(regexp_extract(bio, '^([^BI]*)[BI]', 1)) END AS back_start, CASE WHEN regexp_matches(bio, '[BI]') THEN length(regexp_extract(bio, '^([^BI]*)[BI]', 1)) + length(regexp_extract(bio, '([BI]+)', 1)) END AS back_end, regexp_matches(bio, '[BI]')::INT AS has_speaker FROM sp",
     "span_quality": f"""WITH a AS (SELECT text, (CASE WHEN start IS NULL AND "end" IS NOT NULL THEN 1 ELSE start END - 1)::INT AS s, (CASE WHEN "end" IS NULL AND start IS NOT NULL THEN length(text) ELSE "end" END)::INT AS e FROM {TALK}) SELECT count(*) AS rows, count(CASE WHEN s > e THEN 1 END) AS reversed, count(CASE WHEN e > length(text) THEN 1 END) AS past_text, min(s) AS least_start, coalesce(bool_and(NOT (s > e OR e > length(text))), true) AS all_right FROM a""",
-    "bio_tokens": f"WITH {_SPAN} SELECT rec_id, left(array_to_string(string_split(bio, ''), ' '), 80) AS spaced, md5(CASE WHEN bio = '' THEN '1' ELSE array_to_string(list_transform(string_split(bio, ''), lambda x: CASE x WHEN 'B' THEN '2' WHEN 'I' THEN '3' ELSE '4' END), ' ') || ' 1' END) AS codes FROM sp",
+    "bio_tokens": f"WITH {_SPAN} SELECT rec_id, array_to_string(string_split(bio, ''), ' ') AS spaced, md5(CASE WHEN bio = '' THEN '1' ELSE array_to_string(list_transform(string_split(bio, ''), lambda x: CASE x WHEN 'B' THEN '2' WHEN 'I' THEN '3' ELSE '4' END), ' ') || ' 1' END) AS codes FROM sp",
     "encode_chars": f"WITH {_LINES}, c AS ({_context_sql('lines', 'doc', 'line_no')}), x AS (SELECT doc, line_no, array_to_string(list_transform(string_split(text, ''), lambda q: CAST(ascii(q) + 3 AS VARCHAR)), ' ') AS a, array_to_string(list_transform(string_split(prev_context || chr(10) || next_context, ''), lambda q: CAST(ascii(q) + 3 AS VARCHAR)), ' ') AS b FROM c) SELECT doc, line_no, md5(a || ' 1') AS ids, md5(a || ' 2 ' || b || ' 1') AS with_context FROM x",
     "class_weights": f"WITH {_USABLE}, g AS (SELECT label, count(*) AS n FROM usable GROUP BY label) SELECT label, n, round(n / (SELECT sum(n) FROM g), 9) AS share, round(1.0 / (SELECT count(*) FROM g), 9) AS class_mass FROM g",
     "label_quality": f"WITH {_TYPED_RAW} SELECT count(*) AS rows, count(CASE WHEN text IS NULL THEN 1 END) AS null_text, count(CASE WHEN length(text) = 0 THEN 1 END) AS empty_text, count(CASE WHEN label IS NULL THEN 1 END) AS null_label, count(CASE WHEN label NOT IN ('header', 'speech', 'scene', 'garbage') THEN 1 END) AS unknown_label, count(DISTINCT label) AS labels FROM typed",
