@@ -21,6 +21,9 @@ NICKNAMES = {
 }
 FROM_NICK = {n: full for full, ns in NICKNAMES.items() for n in ns}
 
+# Legal forms that may end an organisation's name.
+LEGAL_FORMS = frozenset(("ltd", "limited", "plc", "inc", "incorporated", "llp", "llc", "gmbh", "corp", "corporation", "pty"))
+
 _TITLES = re.compile(r"(?i)^(?:(hon(?:ourable)?|mrs?|ms|miss|dr|prof|capt|mhe(?:shimiwa)?|rt|rev|eng|maj|gen|col|sen)(?:\.\s*|\s+|$))")
 _GLUED = re.compile(r"^(Mrs?|Ms|Dr|Prof|Capt|Hon|Mhe)(?=[A-Z])|^(MRS|MR|MS|DR|PROF|CAPT|HON|MHE)(?=[A-Z]{4,})")
 _TOKEN = re.compile(r"[A-Za-z][A-Za-z'’]*\.?")
@@ -36,6 +39,14 @@ class Name(NamedTuple):
     seat: str
 
 
+def without_legal_form(tokens: list[str]) -> list[str]:
+    """Pieces of a name without the legal forms at its end, two pieces at least."""
+    n = len(tokens)
+    while n > 2 and tokens[n - 1].rstrip(".").lower() in LEGAL_FORMS:
+        n -= 1
+    return tokens[:n]
+
+
 def given_names(full_names: list[str]) -> frozenset[str]:
     """Lower-case given names of a register, with their short forms."""
     own = {w.lower() for n in full_names if n for w in n.split()[:-1]}
@@ -73,7 +84,7 @@ def parse(label: str, kind: str, given: frozenset[str]) -> Name | None:
     if "," in label:
         last, _, rest = label.partition(",")
         return _name([last.replace(" ", "").lower()], [t.lower() for t in _split(rest)], title, seat)
-    toks = _split(label)
+    toks = raw = without_legal_form(_split(label))
     if not toks:
         return None
     # initials at the end: Surname A. B.
@@ -83,15 +94,34 @@ def parse(label: str, kind: str, given: frozenset[str]) -> Name | None:
     if k < len(toks) and len(toks[0].rstrip(".")) > 1:
         return _name(["".join(toks[:k]).lower(), toks[k - 1].lower()], [t.lower() for t in toks[k:]], title, seat)
     toks = [t.lower() for t in toks]
-    raw = _split(label)
     surnames, gs = [toks[-1]], toks[:-1]
     if len(toks) > 1 and len(toks[-2].rstrip(".")) > 1 and not toks[-2].endswith("."):
         # a surname broken by a blank: its second piece in lower case, or a first piece that is no given name
-        if raw[-1][0].islower() or not any(fits(toks[-2], g) for g in given):
+        if raw[-1][0].islower() or not is_given(toks[-2], given):
             surnames, gs = [toks[-2] + toks[-1]], toks[:-2]
     return _name(surnames, gs, title, seat)
 
 
+@lru_cache(maxsize=8)
+def _by_rest(given: frozenset[str]) -> dict[str, list[str]]:
+    """Given names by what is left of them without up to two letters (one of short names): a word within so many edits
+    of a name shares one of these with it."""
+    out: dict[str, list[str]] = {}
+    for g in given:
+        for d in deletions(g, 2 if len(g) > 8 else 1):
+            out.setdefault(d, []).append(g)
+    return out
+
+
+@lru_cache(maxsize=1 << 16)
+def is_given(word: str, given: frozenset[str]) -> bool:
+    """Whether a typed word of two letters or more, not cut short, fits one of the given names."""
+    if word in given or FROM_NICK.get(word) in given or any(n in given for n in NICKNAMES.get(word, ())):
+        return True
+    near = _by_rest(given)
+    return any(fits(word, g) for g in {g for d in deletions(word, 2) for g in near.get(d, ())})
+
+
 def _split(s: str) -> list[str]:
     return _TOKEN.findall(s.replace("’", "'"))
 
@@ -105,9 +135,13 @@ def _name(surnames: list[str], given: list[str], title: str, seat: str) -> Name
     return Name(s, tuple(given), title, seat) if s else None
 
 
-def deletions(s: str) -> set[str]:
-    """``s`` and everything that is left of it without one letter: two words within one edit share one of these."""
-    return {s} | {s[:i] + s[i + 1 :] for i in range(len(s))}
+def deletions(s: str, most: int = 1) -> set[str]:
+    """``s`` and everything that is left of it without up to ``most`` letters: words within so many edits share one."""
+    out = last = {s}
+    for _ in range(most):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        out = out | last
+    return out
 
 
 @lru_cache(maxsize=1 << 18)

@@ -14,9 +14,10 @@ LABELS = "speaker_name_hand_labels_w_text20"
 
 def _turns(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
     members = table(spark, sf_dir, "members")
-    given, _ = register_given(members)
+    given = register_given(members)
     headers = frozenset(r.header for r in table(spark, sf_dir, "headers").filter("header is not null").collect())  # a fixed list
-    return turns.turns(table(spark, sf_dir, LABELS), given, headers, with_text, resolver(members))
+    records = table(spark, sf_dir, LABELS)
+    return turns.turns(records, given, headers, with_text, resolver(members, records, given))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def p2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given, _ = register_given(table(spark, sf_dir, "members"))
+    given = register_given(table(spark, sf_dir, "members"))
     return scans.repaired(table(spark, sf_dir, LABELS), given)
 
 
@@ -66,7 +67,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _overlap_input(spark: SparkSession, sf_dir: str):
-    given, _ = entity_link.register_given(table(spark, sf_dir, "members"))
+    given = register_given(table(spark, sf_dir, "members"))
     return table(spark, sf_dir, LABELS), table(spark, sf_dir, "file_splits"), given
 
 

@@ -30,12 +30,9 @@ _FURNITURE = (
     r"|(?:\d{1,4}\s+)?" + _DEBATES + r"(?:\s+(?:\d{1,4}|" + _DATE + r"))?"
     r"|" + _DATE + r"\s+" + _DEBATES + r"\s+\d{1,4}"
     r"|\d{1,4}\s+HOUSE\s+REPORTS\s+" + _DATE + r"|" + _DATE + r"\s+(?:Oral\s+Replies|HOUSE\s+REPORTS)\s+\d{1,4}|\d{1,4}\s+Oral\s+Replies\s+" + _DATE +
-    r"|\[" + _DATE + r"\]"
-    r"|Note:\s+This\s+electronic\s+copy\s+is\s+issued\s+for\s+information\s+only\."
-    r"|A\s+signed\s+copy\s+of\s+this\s+Report\s+is\s+kept\s+by\s+the\s+Editor\s+of\s+Debates\."
-    r"|Uncorrected\s+proof\s+-\s+not\s+for\s+citation\s+-\s+\d{1,4})"
+    r"|\[" + _DATE + r"\])"
 )
-#: A whole line of page furniture, within a text or as all of it.
+#: A whole line of page furniture of a known form, within a text or as all of it. Others are learned (``furniture``).
 FURNITURE = re.compile(r"(?mi)(?:^|(?<=\n))[ \t]*" + _FURNITURE + r"(?=[ \t]*(?:</?\w+>\s*)?(?:\n|\Z))")
 
 ANNOTATION = re.compile(
@@ -55,9 +52,21 @@ _GLUED = re.compile(r"(?:Mrs?|Ms|Dr|Prof|Capt|Hon|Mhe)(?=[A-Z])|(?:MRS?|MS|DR|PR
 _NAMELIKE = re.compile(r"[A-Za-z.'’]+(?:[ \n,]+[A-Za-z.'’]+){0,6}\s?")
 _INITIALS = re.compile(r"(?:[A-Z]\.\s?){1,3}$")
 _WORDS = re.compile(r"[A-Za-z][A-Za-z'’]*")
+_NUMBER = re.compile(r"[0-9]+")
+_LOWER = re.compile(r"[a-z]")
 # Openings that end in a colon but name nobody.
 NOT_NAMES = frozenset("the let note time clause question next order ask this that it a in on of no yes not sir madam first secondly further now again also here".split())
-_LONGEST = 130
+#: No form of a label is longer, its pieces set apart by single blanks.
+_LONGEST = 200
+
+
+#: A day and month within a shape, and what takes its place.
+DAY, A_DAY = "0 ?(?:st|nd|rd|th) " + _MONTH, "0th @"
+
+
+def shape(line: str) -> str:
+    """A line with its numbers alike, and its days; in small letters, blanks evened, markup taken off."""
+    return re.sub(DAY, A_DAY, " ".join(_NUMBER.sub("0", TAG.sub("", line).lower()).split()))
 
 
 @lru_cache(maxsize=1 << 17)
@@ -130,19 +139,15 @@ def is_heading(text: str | None, headers: frozenset[str] = frozenset()) -> bool:
         if re.match(r"\s*<(?:header|sub-?header)>", text, re.I):
             return True
         text = TAG.sub("", text)
-    if len(text) > 160:
-        return False
     bare = text.strip()
     if not bare:
         return False
-    if bare.upper() != bare:
-        if len(bare) > 60:
-            return False
+    if _LOWER.search(bare):
         low = bare.lower()
-        if low in headers or low.startswith("question no") and re.fullmatch(r"question\s+no\.?\s*\d+", low):
-            return True
-        letters = re.sub(r"[^A-Za-z]", "", bare)
-        return len(letters) > 5 and letters.isupper() and not FURNITURE.fullmatch(bare)
+        return low in headers or low.startswith("question no") and bool(re.fullmatch(r"question\s+no\.?\s*\d+", low))
+    letters = re.sub(r"[^A-Za-z]", "", bare) if bare.upper() != bare else ""
+    if letters:
+        return len(letters) > 5 and not FURNITURE.fullmatch(bare)
     return sum(c.isalpha() for c in bare) > 3 and bare[0] not in "[(" and not FURNITURE.fullmatch(bare)
 
 
@@ -154,7 +159,50 @@ def strip_head(text: str, end: int) -> str:
     return TAG.sub(" ", text[end:])
 
 
-def spoken(text: str | None, end: int = 0) -> str:
+class Learned:
+    """Page furniture with words of its own, by the shapes of its lines (``furniture.learn``); the words may be parted by
+    any white space, as line ends move."""
+
+    def __init__(self, shapes: frozenset[str] = frozenset()):
+        self.shapes = shapes
+        self.starts = frozenset(x.split()[0] for x in shapes if x[0] != "0")
+        word = lambda w: r"[0-9]+\s?(?:st|nd|rd|th)" if w == "0th" else re.escape(w).replace("0", "[0-9]+").replace("@", _MONTH)
+        one = lambda x: r"\s+".join(map(word, x.split()))
+        any_ = "|".join(one(x) for x in sorted(shapes, key=lambda x: (-len(x), x)))
+        #: Whole lines, and, for those of four words or more, places within a line.
+        self.lines = re.compile(r"(?mi)(?:^|(?<=\n))[ \t]*(?:" + any_ + r")(?=[ \t]*(?:</?\w+>\s*)?(?:\n|\Z))") if shapes else None
+        long = [x for x in sorted(shapes, key=lambda x: (-len(x), x)) if len(x.split()) > 3]
+        self.inline = re.compile("(?i)(?:" + "|".join(map(one, long)) + ")") if long else None
+        self.signs = frozenset(max((w for w in x.split() if w.isalpha()), key=len, default="") for x in long)
+
+    def __reduce__(self):
+        return Learned, (self.shapes,)
+
+    def may_open(self, s: str) -> bool:
+        """Whether a text may begin with one."""
+        return s[0].isdigit() or s[:60].split(None, 1)[0].lower() in self.starts
+
+
+NOTHING = Learned()
+
+
+def without_furniture(s: str, learned: Learned = NOTHING) -> str:
+    """A text without its lines of page furniture: those of a known form, and those that are ``learned``."""
+    s = s.strip()
+    if not s:
+        return s
+    if "\n" not in s:
+        if s[0] in _FURNITURE_STARTS:
+            m = FURNITURE.match(s)
+            s = s[m.end() :] if m else s
+        return learned.lines.sub("", s) if learned.lines and s and learned.may_open(s) else s
+    return FURNITURE.sub("", learned.lines.sub("", s) if learned.lines else s)
+
+
+_FURNITURE_STARTS = frozenset("pPvV[-0123456789 \t")
+
+
+def spoken(text: str | None, end: int = 0, learned: Learned = NOTHING) -> str:
     """Words said in a line: no label (up to ``end``), markup, timestamps, furniture, annotations, fillers."""
     if not text:
         return ""
@@ -163,8 +211,7 @@ def spoken(text: str | None, end: int = 0) -> str:
         s = TAG.sub("", ANNOTATION.sub(" ", s))
     if "[" in s or "(" in s or "*" in s or s[:1].isdigit():
         s = ANNOTATION.sub(" ", TIME.sub(" ", s))
-    if "\n" in s or len(s) < 70:
-        s = FURNITURE.sub("", s.strip())
+    s = without_furniture(s, learned)
     for f in _FILLER_SIGNS:
         if f in s:
             s = FILLER.sub("", s)
@@ -172,8 +219,17 @@ def spoken(text: str | None, end: int = 0) -> str:
     return " ".join(s.split())
 
 
-def has_words(text: str | None, end: int = 0) -> bool:
-    """Whether anything is said in the line; agrees with ``bool(spoken(...))``."""
+def has_words(text: str | None, end: int = 0, learned: Learned = NOTHING) -> bool:
+    """``bool(spoken(...))``, told without reading on where the line has no sign of what ``spoken`` takes out but fillers
+    (which all end in a comma, a hyphen or three dots) and ends in another sign."""
     if not text:
         return False
-    return len(text) - end > 200 and text[end : end + 200].count("\n") < 2 or bool(spoken(text, end))
+    s = text[end:].strip() if end else text.strip()
+    if not s:
+        return False
+    if not _TAKEN.search(s) and s[0] not in _FURNITURE_STARTS and s[-1] not in ",-" and not s.endswith("...") and not (learned.lines and learned.may_open(s)):
+        return True
+    return bool(spoken(text, end, learned))
+
+
+_TAKEN = re.compile(r"[<\[(*\n]")

@@ -121,7 +121,7 @@ def _texts():
 
 
 def test_overlaps_against_brute_force(spark, members):
-    given, _ = entity_link.register_given(members)
+    given = entity_link.register_given(members)
     rows = _texts()
     df = spark.createDataFrame(rows, "rec_id long, file string, text string").withColumn("seq", F.lit(1))
     sp = spark.createDataFrame([("tr", "train"), ("de", "dev"), (None, "dev")], "file string, split_name string")
@@ -154,7 +154,7 @@ def _longest_run(a, b):
 def test_overlaps_within_a_large_group_of_near_copies(spark, members, monkeypatch):
     monkeypatch.setattr(overlap, "FEW", 50, raising=False)  # so that these are frequent
     # all seeds of the group are frequent; plain seeds are sure to meet on a run of WORDS + WINDOW - 1
-    given, _ = entity_link.register_given(members)
+    given = entity_link.register_given(members)
     rng = random.Random(11)
     rows = []
     for g, size in enumerate((28, 40)):
@@ -180,7 +180,7 @@ def test_overlaps_within_a_large_group_of_near_copies(spark, members, monkeypatc
 
 
 def test_overlaps_that_share_eight_words_in_a_row(spark, members):
-    given, _ = entity_link.register_given(members)
+    given = entity_link.register_given(members)
     rows = []
     for i in range(300):
         w = [f"w{i}x{j}" for j in range(28)]
