@@ -1,15 +1,18 @@
 """Same or nearly same spoken words across splits.
 
-Method: winnowing fingerprints. Each distinct sequence of words gives rolling hashes of WORDS words, of which the
-least in every WINDOW is kept; kept ones are joined across splits. Seeds that are frequent in the corpus are joined
-together with each of the rarest words of their text, of which two texts that are near alike share one, so no pair is
-lost by it. Collinear seeds of a pair are chained and extended by alignment.
+Method: winnowing fingerprints. Each distinct sequence of words gives rolling hashes of WORDS words, of which the least in
+every window is kept; the window is as wide as the length of the text allows if texts that differ in single words are to
+share a kept one for sure. Kept ones are joined across splits, where their places must lie on one line as near-alike texts
+have them. Seeds that are frequent in the corpus are joined together with each of the rarest words of their text, of which
+two texts that are near alike share one, so no pair is lost by it. Collinear seeds of a pair are chained, the chain is
+extended by alignment of what lies between and around its seeds.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm import speech
+from lectern.llm import furniture, speech
+from lectern.llm.encoding import repair
 from lectern.sources.tables import stage
 
-WORDS, WINDOW, LEAST, SHARE = 6, 3, 28, 0.85
+WORDS, LEAST, SHARE = 5, 28, 0.85
 #: Bytes of a word's hash in a sequence.
 WIDTH = 3
 #: A seed is frequent if it holds more than this share of a third of all words (there are about as many seeds): there
@@ -32,23 +36,39 @@ HOT, SAMPLED = 1e-5, 8
 #: A seed held by fewer texts isn't frequent, whatever its share.
 FEW = 1000
 
+
+def window(n: np.ndarray) -> np.ndarray:
+    """Seeds a window of winnowing may hold in texts of ``n`` words: SHARE allows e other words, so some run of equal words
+    has (n - e) / (e + 1) at least. One or two for all lengths."""
+    e = (n * (1 - SHARE) + 1e-6).astype(np.int64)
+    return np.clip(-(-(n - e) // (e + 1)) - WORDS + 1, 1, 2)
+
+
 _JOIN = re.compile(r"(?<=[a-z])[-\xad¬][ \t]*\n\s*|(?<=[a-z])[-\xad¬] +(?=[a-z])")
 # Letters that scanning takes for one another fall together; other signs go.
 _SAME = bytes.maketrans(b"0195ehij!", b"olgscblll")
 _GONE = b"\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def plain_words(text: str | None, given: frozenset[str]) -> list[bytes]:
-    """Spoken words of a line for comparison; [] where there can't be LEAST of them."""
-    if not text or text.count(" ") + text.count("\n") < LEAST - 1:
+def plain_words(text: str | None, given: frozenset[str], learned: speech.Learned = speech.NOTHING) -> list[bytes]:
+    """Spoken words of a line for comparison; [] where there can't be LEAST of them.
+
+    Case, punctuation, markup and garbling don't count. Latin letters with accents are left out on both sides, as garbling
+    loses them; letters of other scripts stay.
+    """
+    if not text or len(text) < 2 * LEAST - 1 or len(text.split()) + text.count("[") + text.count("(") + text.count("*") + text.count("<") < LEAST:
         return []
     end = speech.split_label(text, given)[3]
     s = text[end:]
     if "-" in s or "\xad" in s or "¬" in s:
         s = _JOIN.sub("", s)
-    s = speech.spoken(s)
-    b = s.lower().replace("†", "t").encode("ascii", "ignore").translate(_SAME, _GONE).replace(b"rn", b"m")
-    return b.split()
+    s = speech.spoken(s, 0, learned).lower().replace("†", "t")
+    if s.isascii():
+        b = s.encode()
+    else:
+        s = repair(s)[0] or ""
+        b = "".join([c for c in s if c < "\x80" or c > "\u024f" and not "\u1e00" <= c <= "\u1eff" and c.isalpha() and not "\ufb00" <= c <= "\ufb06"]).encode()
+    return b.translate(_SAME, _GONE).replace(b"rn", b"m").split()
 
 
 class _Hashes(dict):
@@ -63,13 +83,13 @@ def _words(seq: bytes) -> np.ndarray:
     return b[:, 0] | b[:, 1] << np.uint32(8) | b[:, 2] << np.uint32(16)
 
 
-def _classes(given: frozenset[str]):
+def _classes(given: frozenset[str], learned: speech.Learned):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in batches:
             ids, files, cids, seqs = [], [], [], []
             for i, f, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                w = plain_words(t, given)
+                w = plain_words(t, given, learned)
                 if len(w) >= LEAST:
                     seq = b"".join([hashes[x] for x in w])
                     ids.append(i)
@@ -99,19 +119,23 @@ def _rolling(w: np.ndarray, k: int) -> np.ndarray:
     return _mix(h)
 
 
-def _winnowed(w: np.ndarray, n: np.ndarray, first: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the kept seeds, without repeats in a row, of sequences of lengths ``n`` that lie one after another."""
-    left = n[row] - (np.arange(len(w)) - first[row])  # words from here on
-    h = np.full(len(w), np.iinfo(np.uint64).max, np.uint64)
+def _winnowed(w: np.ndarray, n: np.ndarray, first: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, place) of the kept seeds of sequences of lengths ``n`` that lie one after another, each once in a row;
+    the place is -1 for one that comes up again in its row."""
+    at = np.arange(len(w))
+    ok = n[row] - (at - first[row]) >= WORDS
+    h = np.full(len(w) + 1, np.iinfo(np.uint64).max, np.uint64)
     k = _rolling(w, WORDS)
-    ok = left[: len(k)] >= WORDS
-    h[: len(k)][ok] = k[ok]
-    m = len(w) - WINDOW - WORDS + 2
-    win = np.stack([h[j : m + j] for j in range(WINDOW)])
-    full = left[:m] >= WORDS + WINDOW - 1
-    at = np.unique((np.argmin(win, axis=0) + np.arange(m))[full])
-    _, keep = np.unique(np.stack([row[at].astype(np.uint64), h[at]]), axis=1, return_index=True)
-    return row[at[keep]], h[at[keep]]
+    h[: len(k)][ok[: len(k)]] = k[ok[: len(k)]]
+    # in windows of two a seed is kept if it is less than a neighbour (or the only one); in windows of one always
+    right = h[1:]
+    left = np.concatenate([h[:1] + np.uint64(1), h[:-2]])
+    left_in, right_in = at > first[row], np.append(ok[1:], False) & (np.append(row[1:], -1) == row)
+    kept = ok & ((window(n)[row] == 1) | left_in & (h[:-1] < left) | right_in & (h[:-1] <= right) | ~left_in & ~right_in)
+    at = at[kept]
+    _, keep, many = np.unique(np.stack([row[at].astype(np.uint64), h[at]]), axis=1, return_index=True, return_counts=True)
+    at = at[keep]
+    return row[at], h[at], np.where(many == 1, at - first[row[at]], -1)
 
 
 def _rarest(w: np.ndarray, n: np.ndarray, first: np.ndarray, row: np.ndarray, often: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -142,31 +166,36 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), seed)), pa.array(x.view(np.int64)), pa.array(k, pa.int64())], ["seed", "x", "k"])
 
 
+#: Bits of a key's last column that hold a place (plus one; 0: none); the length is above them.
+_PLACE = 24
+
+
 def _seeds(hot: np.ndarray, often: dict[str, np.ndarray]):
-    """cid, seq -> the keys on which each sequence is joined, its length and its set of words as 128 bits: its kept seeds;
-    for those in ``hot`` (sorted) the seed with each of its rarest words. Works on all sequences of a batch at once."""
+    """cid, seq -> the keys on which each sequence is joined, its length with the seed's place, and its set of words as 64
+    bits: its kept seeds; for those in ``hot`` (sorted) the seed with each of its rarest words. Works on all sequences of a
+    batch at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             w, n, first, row = _laid(b, 1)
-            bit = (w * _M) >> np.uint64(57)
-            bits = np.uint64(1) << (bit & np.uint64(63))
-            sets = [np.bitwise_or.reduceat(np.where(bit >> np.uint64(6) == j, bits, np.uint64(0)), first).view(np.int64) for j in (0, 1)]
-            r, h = _winnowed(w, n, first, row)
+            words = np.bitwise_or.reduceat(np.uint64(1) << ((w * _M) >> np.uint64(58)), first).view(np.int64)
+            r, h, place = _winnowed(w, n, first, row)
             if len(hot):
                 is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
                 rr, rare = _rarest(w, n, first, row, often)
                 per = np.bincount(rr, minlength=len(n))
                 start = np.cumsum(per) - per
-                x, y = r[is_hot], h[is_hot]
+                x, y, z = r[is_hot], h[is_hot], place[is_hot]
                 many = per[x]
                 at = np.repeat(start[x] - (np.cumsum(many) - many), many) + np.arange(many.sum())
                 r = np.concatenate([r[~is_hot], np.repeat(x, many)])
+                place = np.concatenate([place[~is_hot], np.repeat(z, many)])
                 h = np.concatenate([h[~is_hot], _mix(np.repeat(y, many) * _M + rare[at])])
-            cols = (h.view(np.int64), b.column(0).to_numpy()[r], n[r].astype(np.int32), sets[0][r], sets[1][r])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cid", "n", "words", "words2"])
+            place = np.where(place + 1 < 1 << _PLACE, place + 1, 0)
+            cols = (h.view(np.int64), b.column(0).to_numpy()[r], n[r] << _PLACE | place, words[r])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cid", "at", "words"])
 
     return run
 
@@ -184,19 +213,60 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def chained(a: np.ndarray, b: np.ndarray) -> int:
-    """Words covered by the best chain of collinear seeds (runs of WORDS equal words) of two sequences."""
+def chained(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """The chain of collinear seeds (runs of WORDS equal words) of two sequences: (place in a, place in b, words), each run
+    as long as it goes. The longest increasing set of matching places, a seed that repeats taken at its first place."""
+    if len(a) < WORDS or len(b) < WORDS:
+        return []
     where: dict[int, int] = {}
-    ra, rb = _rolling(a.astype(np.uint64), WORDS), _rolling(b.astype(np.uint64), WORDS)
-    for i, x in enumerate(ra.tolist()):
+    for i, x in enumerate(_rolling(a.astype(np.uint64), WORDS).tolist()):
         where.setdefault(x, i)
-    covered, last_a, last_b = 0, -1, -1
-    for j, y in enumerate(rb.tolist()):
-        i = where.get(y)
-        if i is not None and i > last_a:
-            covered += min(WORDS, i + WORDS - max(i, last_a + WORDS if last_a >= 0 else i), j + WORDS - max(j, last_b + WORDS if last_b >= 0 else j))
-            last_a, last_b = i, j
-    return covered
+    hits = [(where[y], j) for j, y in enumerate(_rolling(b.astype(np.uint64), WORDS).tolist()) if y in where]
+    # longest increasing subsequence of the places in a, in order of the places in b
+    tails: list[int] = []
+    ends: list[int] = []
+    came = [-1] * len(hits)
+    for k, (i, _) in enumerate(hits):
+        at = bisect_left(tails, i)
+        came[k] = ends[at - 1] if at else -1
+        tails[at : at + 1] = [i]
+        ends[at : at + 1] = [k]
+    path = []
+    k = ends[-1] if ends else -1
+    while k >= 0:
+        path.append(hits[k])
+        k = came[k]
+    runs: list[tuple[int, int, int]] = []
+    for i, j in reversed(path):
+        if runs:
+            p, q, n = runs[-1]
+            if i - p == j - q and i <= p + n:
+                runs[-1] = (p, q, i - p + WORDS)
+                continue
+            cut = max(p + n - i, q + n - j, 0)
+            if cut >= WORDS:
+                continue
+            i, j = i + cut, j + cut
+            runs.append((i, j, WORDS - cut))
+        else:
+            runs.append((i, j, WORDS))
+    return runs
+
+
+def aligned(a: np.ndarray, b: np.ndarray, least: float) -> tuple[int, int]:
+    """(words in common in the same order, words of them within the chain): the chain is extended by alignment of what lies
+    before, between and after its runs; only where that falls short of ``least`` are the sequences aligned as a whole."""
+    runs = chained(a, b)
+    i = j = got = inside = 0
+    for p, q, n in [*runs, (len(a), len(b), 0)]:
+        if p > i and q > j:
+            got += common(a[i:p], b[j:q])
+        got += n
+        inside += n
+        i, j = p + n, q + n
+    if got < least and runs:
+        got = max(got, common(a, b))
+    return got, inside
 
 
 def _may_match(t: pa.RecordBatch) -> np.ndarray:
@@ -223,17 +293,17 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, y, p, q in zip(*(t.column(i).to_pylist() for i in range(4))):
             u, v = _words(p), _words(q)
             n = max(len(u), len(v))
-            c = common(u, v)
+            c, inside = aligned(u, v, SHARE * n)
             if c >= SHARE * n:
                 a.append(x)
                 b.append(y)
                 common_.append(c)
-                chain.append(chained(u, v))
+                chain.append(inside)
                 longer.append(n)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(common_, pa.int32()), pa.array(chain, pa.int32()), pa.array(longer, pa.int32())], ["cid_a", "cid_b", "common", "chain", "longer"])
 
 
-def overlap_parts(records: DataFrame, splits: DataFrame, given: frozenset[str]) -> tuple[DataFrame, DataFrame]:
+def overlap_parts(records: DataFrame, splits: DataFrame, given: frozenset[str], learned: speech.Learned | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, links): members(cid, rec_id, file, train) has every record of LEAST words or more with the class of
     its words; links(cid_a, cid_b, common, chain, longer) has the class pairs, a class with itself included, of which
     one holds a train record and the other one of another split and that share SHARE of the longer's words in order.
@@ -242,7 +312,8 @@ def overlap_parts(records: DataFrame, splits: DataFrame, given: frozenset[str])
     one class, so copies cost one fingerprint set. Repeated records count once.
     """
     spark = records.sparkSession
-    rows = records.select("rec_id", "file", "text").mapInArrow(_classes(given), "rec_id long, file string, cid long, seq binary")
+    learned = furniture.learn(records) if learned is None else learned
+    rows = records.select("rec_id", "file", "text").mapInArrow(_classes(given, learned), "rec_id long, file string, cid long, seq binary")
     rows = stage(rows, "words")
     side = splits.filter("file is not null").groupBy("file").agg(F.min("split_name").alias("split_name"))
     members = rows.select("rec_id", "file", "cid").join(side, "file").select("cid", "rec_id", "file", (F.col("split_name") == "train").alias("train")).distinct()
@@ -264,21 +335,24 @@ def overlap_parts(records: DataFrame, splits: DataFrame, given: frozenset[str])
         yield from _seeds(*shared.value)(batches)
 
     def side_keys(which: str, end: str) -> DataFrame:
-        got = texts.filter(which).select("cid", "seq").mapInArrow(keys, "key long, cid long, n int, words long, words2 long")
-        return got.select("key", *(F.col(c).alias(c + end) for c in ("cid", "n", "words", "words2")))
+        got = texts.filter(which).select("cid", "seq").mapInArrow(keys, "key long, cid long, at long, words long")
+        return got.select("key", *(F.col(c).alias(c + end) for c in ("cid", "at", "words")))
 
     a, b = side_keys("train", "_a"), side_keys("other", "_b")
-    most = F.greatest("n_a", "n_b") * SHARE
-    near = (F.least("n_a", "n_b") >= most) & (F.col("cid_a") != F.col("cid_b"))
+    n = {x: F.shiftright(f"at_{x}", _PLACE) for x in "ab"}
+    place = {x: F.col(f"at_{x}").bitwiseAND(F.lit((1 << _PLACE) - 1)) for x in "ab"}
+    most = F.greatest(n["a"], n["b"]) * SHARE
+    near = (F.least(n["a"], n["b"]) >= most - 1e-6) & (F.col("cid_a") != F.col("cid_b"))
+    # a seed both have at corresponding places is shifted by no more words than the longer text may have of its own
+    near = near & ((place["a"] == 0) | (place["b"] == 0) | (F.abs(place["a"] - place["b"]) <= F.greatest(n["a"], n["b"]) - most + 1e-6))
     for x, y in (("a", "b"), ("b", "a")):
-        lacks = [F.bit_count(F.col(f"{c}_{x}").bitwiseAND(F.bitwise_not(f"{c}_{y}"))) for c in ("words", "words2")]
-        near = near & (lacks[0] + lacks[1] <= F.col(f"n_{x}") - most)
+        near = near & (F.bit_count(F.col(f"words_{x}").bitwiseAND(F.bitwise_not(f"words_{y}"))) <= n[x] - most + 1e-6)
     pairs = a.join(b, "key").filter(near).select("cid_a", "cid_b").distinct()
     t = texts.select("cid", "seq")
     full = pairs.join(t.select(F.col("cid").alias("cid_a"), F.col("seq").alias("seq_a")), "cid_a").join(t.select(F.col("cid").alias("cid_b"), F.col("seq").alias("seq_b")), "cid_b")
     found = full.select("cid_a", "cid_b", "seq_a", "seq_b").mapInArrow(_verify, "cid_a long, cid_b long, common int, chain int, longer int")
-    n = (F.length("seq") / WIDTH).cast("int")
-    same = texts.filter("train and other").select(F.col("cid").alias("cid_a"), F.col("cid").alias("cid_b"), n.alias("common"), n.alias("chain"), n.alias("longer"))
+    size = (F.length("seq") / WIDTH).cast("int")
+    same = texts.filter("train and other").select(F.col("cid").alias("cid_a"), F.col("cid").alias("cid_b"), size.alias("common"), size.alias("chain"), size.alias("longer"))
     return members, found.unionByName(same)
 
 

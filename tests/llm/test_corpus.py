@@ -143,17 +143,9 @@ def test_overlaps_against_brute_force(spark, members):
     assert overlap.overlap_pairs(df.limit(0), sp, given).count() == 0
 
 
-def _longest_run(a, b):
-    best, row = 0, [0] * (len(b) + 1)
-    for x in a:
-        row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(b)]
-        best = max(best, *row)
-    return best
-
-
 def test_overlaps_within_a_large_group_of_near_copies(spark, members, monkeypatch):
     monkeypatch.setattr(overlap, "FEW", 50, raising=False)  # so that these are frequent
-    # all seeds of the group are frequent; plain seeds are sure to meet on a run of WORDS + WINDOW - 1
+    # all seeds of the group are frequent
     given = entity_link.register_given(members)
     rng = random.Random(11)
     rows = []
@@ -169,27 +161,56 @@ def test_overlaps_within_a_large_group_of_near_copies(spark, members, monkeypatc
     got = {(r.rec_id_a, r.rec_id_b) for r in overlap.overlap_pairs(df, sp, given).collect()}
     codes = {}
     w = {i: (f, [codes.setdefault(x, len(codes)) for x in overlap.plain_words(t, given)]) for i, f, t in rows}
-    near, sure = set(), set()
+    near = set()
     for i, (f, a) in w.items():
         for j, (g, b) in w.items():
             if f == "tr" and g == "de" and overlap.common(np.array(a), np.array(b)) >= 0.85 * max(len(a), len(b)):
                 near.add((min(i, j), max(i, j)))
-                if _longest_run(a, b) >= overlap.WORDS + overlap.WINDOW - 1:
-                    sure.add((min(i, j), max(i, j)))
-    assert len(sure) > 20_000 and sure <= got <= near
+    assert len(near) > 20_000 and got == near
+
+
+@pytest.mark.parametrize("n", range(28, 70))
+def test_texts_with_even_changes_share_a_seed(n):
+    """The most single words that SHARE allows, spread so that no run of equal words is longer than it must be."""
+    e = int(n * 0.15 + 1e-6)
+    rng = np.random.default_rng(n)
+    for _ in range(20):
+        a = rng.integers(0, 1 << 24, n).astype(np.uint64)
+        b = a.copy()
+        b[[round((k + 1) * (n - e) / (e + 1)) + k for k in range(e)]] = rng.integers(1 << 24, 1 << 25, e)
+        row = np.zeros(n, np.int64)
+        x, y = ({*overlap._winnowed(s, np.array([n]), np.array([0]), row)[1].tolist()} for s in (a, b))
+        assert x & y
 
 
-def test_overlaps_that_share_eight_words_in_a_row(spark, members):
+def test_overlaps_with_even_changes_tabs_and_other_scripts(spark, members):
     given = entity_link.register_given(members)
     rows = []
-    for i in range(300):
+    for i in range(100):
         w = [f"w{i}x{j}" for j in range(28)]
-        v = [f"c{i}z{j}" if j in (8, 14, 20, 24) else x for j, x in enumerate(w)]
-        rows += [(2 * i, "tr", " ".join(w)), (2 * i + 1, "de", " ".join(v))]
+        v = [f"c{i}z{j}" if j in (5, 11, 17, 23) else x for j, x in enumerate(w)]
+        rows += [(2 * i, "tr", "\t".join(w)), (2 * i + 1, "de", "\u00a0".join(v))]
+    letters = "абвгдежзиклмнопрст"
+    text = [a + b for a in letters for b in "аеио"][:40]
+    rows += [(1000, "tr", " ".join(text)), (1001, "de", " ".join(text[:20] + ["другое"] + text[21:])), (1002, "tr", None), (1003, "de", "")]
     df = spark.createDataFrame(rows, "rec_id long, file string, text string")
     sp = spark.createDataFrame([("tr", "train"), ("de", "dev")], "file string, split_name string")
     got = {(r.rec_id_a, r.rec_id_b) for r in overlap.overlap_pairs(df, sp, given).collect()}
-    assert got == {(2 * i, 2 * i + 1) for i in range(300)}
+    assert got == {(2 * i, 2 * i + 1) for i in range(100)} | {(1000, 1001)}
+
+
+def test_chains_are_extended():
+    a = np.arange(60)
+    b = np.concatenate([a[:20], [900, 901], a[24:50], [902], a[50:]])
+    assert overlap.chained(a, b) == [(0, 0, 20), (24, 22, 26), (50, 49, 10)]
+    assert overlap.aligned(a, b, 50)[0] == overlap.common(a, b) == 56
+    assert overlap.chained(a, a[::-1]) == [] and overlap.chained(a[:3], a) == []
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        x, y = rng.integers(0, 30, 50), rng.integers(0, 30, 45)
+        y[10:30] = x[5:25]
+        got, inside = overlap.aligned(x, y, 1000)
+        assert got == overlap.common(x, y) and inside <= got
 
 
 def test_reading_of_lines():
