@@ -1,8 +1,7 @@
 """Same or nearly same spoken words across splits.
 
-Method: winnowing fingerprints. Each distinct sequence of words gives rolling hashes of WORDS words, of which the least in
-every window is kept; the window is as wide as the length of the text allows if texts that differ in single words are to
-share a kept one for sure. Kept ones are joined across splits, where their places must lie on one line as near-alike texts
+Method: winnowing fingerprints. Each distinct sequence of words gives rolling hashes of some words, of which the least in
+every window is kept; short texts keep all. Kept ones are joined across splits, where their places must lie on one line as near-alike texts
 have them. Seeds that are frequent in the corpus are joined together with each of the rarest words of their text, of which
 two texts that are near alike share one, so no pair is lost by it. Collinear seeds of a pair are chained, the chain is
 extended by alignment of what lies between and around its seeds.
@@ -26,7 +25,14 @@ from lectern.llm import furniture, speech
 from lectern.llm.encoding import repair
 from lectern.sources.tables import stage
 
-WORDS, LEAST, SHARE = 5, 28, 0.85
+LEAST, SHARE = 28, 0.85
+#: (words of a seed, seeds of a window, shortest and longest text in words). Short texts keep every seed of five words: with
+#: single words changed as often as SHARE allows, two of up to 35 words share one for sure. Longer ones keep the least of
+#: three seeds of six words: sure for eight words in a row. A pair is sought among short ones if its longer text is, and
+#: a text near the border is in both.
+SEEDS = ((5, 1, LEAST, 35), (6, 3, 30, 1 << 40))
+#: Words of a seed of a chain.
+WORDS = 5
 #: Bytes of a word's hash in a sequence.
 WIDTH = 3
 #: A seed is frequent if it holds more than this share of a third of all words (there are about as many seeds): there
@@ -36,14 +42,6 @@ HOT, SAMPLED = 1e-5, 8
 #: A seed held by fewer texts isn't frequent, whatever its share.
 FEW = 1000
 
-
-def window(n: np.ndarray) -> np.ndarray:
-    """Seeds a window of winnowing may hold in texts of ``n`` words: SHARE allows e other words, so some run of equal words
-    has (n - e) / (e + 1) at least. One or two for all lengths."""
-    e = (n * (1 - SHARE) + 1e-6).astype(np.int64)
-    return np.clip(-(-(n - e) // (e + 1)) - WORDS + 1, 1, 2)
-
-
 _JOIN = re.compile(r"(?<=[a-z])[-\xad¬][ \t]*\n\s*|(?<=[a-z])[-\xad¬] +(?=[a-z])")
 # Letters that scanning takes for one another fall together; other signs go.
 _SAME = bytes.maketrans(b"0195ehij!", b"olgscblll")
@@ -122,20 +120,26 @@ def _rolling(w: np.ndarray, k: int) -> np.ndarray:
 def _winnowed(w: np.ndarray, n: np.ndarray, first: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, hash, place) of the kept seeds of sequences of lengths ``n`` that lie one after another, each once in a row;
     the place is -1 for one that comes up again in its row."""
-    at = np.arange(len(w))
-    ok = n[row] - (at - first[row]) >= WORDS
-    h = np.full(len(w) + 1, np.iinfo(np.uint64).max, np.uint64)
-    k = _rolling(w, WORDS)
-    h[: len(k)][ok[: len(k)]] = k[ok[: len(k)]]
-    # in windows of two a seed is kept if it is less than a neighbour (or the only one); in windows of one always
-    right = h[1:]
-    left = np.concatenate([h[:1] + np.uint64(1), h[:-2]])
-    left_in, right_in = at > first[row], np.append(ok[1:], False) & (np.append(row[1:], -1) == row)
-    kept = ok & ((window(n)[row] == 1) | left_in & (h[:-1] < left) | right_in & (h[:-1] <= right) | ~left_in & ~right_in)
-    at = at[kept]
-    _, keep, many = np.unique(np.stack([row[at].astype(np.uint64), h[at]]), axis=1, return_index=True, return_counts=True)
-    at = at[keep]
-    return row[at], h[at], np.where(many == 1, at - first[row[at]], -1)
+    got = []
+    for words, window, least, most in SEEDS:
+        mine = (n >= least) & (n <= most)
+        if not mine.any():
+            continue
+        x, at, r = w[mine[row]], (np.arange(len(w)) - first[row])[mine[row]], row[mine[row]]
+        left = n[r] - at  # words from here on
+        h = np.full(len(x) + window, np.iinfo(np.uint64).max, np.uint64)
+        k = _rolling(x, words)
+        ok = left[: len(k)] >= words
+        h[: len(k)][ok] = k[ok] * np.uint64(2 * words + 1)  # seeds of each kind are keys of their own
+        win = np.stack([h[j : j + len(x)] for j in range(window)])
+        full = left >= words + window - 1
+        kept = np.unique((np.argmin(win, axis=0) + np.arange(len(x)))[full])
+        _, once, many = np.unique(np.stack([r[kept].astype(np.uint64), h[kept]]), axis=1, return_index=True, return_counts=True)
+        kept = kept[once]
+        got.append((r[kept], h[kept], np.where(many == 1, at[kept], -1)))
+    if not got:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*got))
 
 
 def _rarest(w: np.ndarray, n: np.ndarray, first: np.ndarray, row: np.ndarray, often: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
