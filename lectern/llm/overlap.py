@@ -1,8 +1,7 @@
 """Same or nearly same spoken words across splits.
 
 Method: winnowing fingerprints. Each distinct sequence of words gives rolling hashes of some words, of which the least in
-every window is kept; short texts keep all. Kept ones are joined across splits, where their places must lie on one line as near-alike texts
-have them. Seeds that are frequent in the corpus are joined together with each of the rarest words of their text, of which
+every window is kept; short texts keep all. Kept ones are joined across splits. Seeds that are frequent in the corpus are joined together with each of the rarest words of their text, of which
 two texts that are near alike share one, so no pair is lost by it. Collinear seeds of a pair are chained, the chain is
 extended by alignment of what lies between and around its seeds.
 """
@@ -30,7 +29,7 @@ LEAST, SHARE = 28, 0.85
 #: single words changed as often as SHARE allows, two of up to 35 words share one for sure. Longer ones keep the least of
 #: three seeds of six words: sure for eight words in a row. A pair is sought among short ones if its longer text is, and
 #: a text near the border is in both.
-SEEDS = ((5, 1, LEAST, 35), (6, 3, 30, 1 << 40))
+SEEDS = ((5, 1, LEAST, 35), (6, 3, 31, 1 << 40))
 #: Words of a seed of a chain.
 WORDS = 5
 #: Bytes of a word's hash in a sequence.
@@ -117,9 +116,8 @@ def _rolling(w: np.ndarray, k: int) -> np.ndarray:
     return _mix(h)
 
 
-def _winnowed(w: np.ndarray, n: np.ndarray, first: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, place) of the kept seeds of sequences of lengths ``n`` that lie one after another, each once in a row;
-    the place is -1 for one that comes up again in its row."""
+def _winnowed(w: np.ndarray, n: np.ndarray, first: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the kept seeds, without repeats in a row, of sequences of lengths ``n`` that lie one after another."""
     got = []
     for words, window, least, most in SEEDS:
         mine = (n >= least) & (n <= most)
@@ -134,11 +132,11 @@ def _winnowed(w: np.ndarray, n: np.ndarray, first: np.ndarray, row: np.ndarray)
         win = np.stack([h[j : j + len(x)] for j in range(window)])
         full = left >= words + window - 1
         kept = np.unique((np.argmin(win, axis=0) + np.arange(len(x)))[full])
-        _, once, many = np.unique(np.stack([r[kept].astype(np.uint64), h[kept]]), axis=1, return_index=True, return_counts=True)
-        kept = kept[once]
-        got.append((r[kept], h[kept], np.where(many == 1, at[kept], -1)))
+        kept = kept[np.lexsort((h[kept], r[kept]))]
+        kept = kept[np.append(True, (np.diff(h[kept]) != 0) | (np.diff(r[kept]) != 0))]
+        got.append((r[kept], h[kept]))
     if not got:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(c) for c in zip(*got))
 
 
@@ -170,36 +168,31 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), seed)), pa.array(x.view(np.int64)), pa.array(k, pa.int64())], ["seed", "x", "k"])
 
 
-#: Bits of a key's last column that hold a place (plus one; 0: none); the length is above them.
-_PLACE = 24
-
-
 def _seeds(hot: np.ndarray, often: dict[str, np.ndarray]):
-    """cid, seq -> the keys on which each sequence is joined, its length with the seed's place, and its set of words as 64
-    bits: its kept seeds; for those in ``hot`` (sorted) the seed with each of its rarest words. Works on all sequences of a
-    batch at once."""
+    """cid, seq -> the keys on which each sequence is joined, its length and its set of words as 128 bits: its kept seeds;
+    for those in ``hot`` (sorted) the seed with each of its rarest words. Works on all sequences of a batch at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             w, n, first, row = _laid(b, 1)
-            words = np.bitwise_or.reduceat(np.uint64(1) << ((w * _M) >> np.uint64(58)), first).view(np.int64)
-            r, h, place = _winnowed(w, n, first, row)
+            bit = (w * _M) >> np.uint64(57)
+            bits = np.uint64(1) << (bit & np.uint64(63))
+            sets = [np.bitwise_or.reduceat(np.where(bit >> np.uint64(6) == j, bits, np.uint64(0)), first).view(np.int64) for j in (0, 1)]
+            r, h = _winnowed(w, n, first, row)
             if len(hot):
                 is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
                 rr, rare = _rarest(w, n, first, row, often)
                 per = np.bincount(rr, minlength=len(n))
                 start = np.cumsum(per) - per
-                x, y, z = r[is_hot], h[is_hot], place[is_hot]
+                x, y = r[is_hot], h[is_hot]
                 many = per[x]
                 at = np.repeat(start[x] - (np.cumsum(many) - many), many) + np.arange(many.sum())
                 r = np.concatenate([r[~is_hot], np.repeat(x, many)])
-                place = np.concatenate([place[~is_hot], np.repeat(z, many)])
                 h = np.concatenate([h[~is_hot], _mix(np.repeat(y, many) * _M + rare[at])])
-            place = np.where(place + 1 < 1 << _PLACE, place + 1, 0)
-            cols = (h.view(np.int64), b.column(0).to_numpy()[r], n[r] << _PLACE | place, words[r])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cid", "at", "words"])
+            cols = (h.view(np.int64), b.column(0).to_numpy()[r], n[r].astype(np.int32), sets[0][r], sets[1][r])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cid", "n", "words", "words2"])
 
     return run
 
@@ -339,18 +332,15 @@ def overlap_parts(records: DataFrame, splits: DataFrame, given: frozenset[str],
         yield from _seeds(*shared.value)(batches)
 
     def side_keys(which: str, end: str) -> DataFrame:
-        got = texts.filter(which).select("cid", "seq").mapInArrow(keys, "key long, cid long, at long, words long")
-        return got.select("key", *(F.col(c).alias(c + end) for c in ("cid", "at", "words")))
+        got = texts.filter(which).select("cid", "seq").mapInArrow(keys, "key long, cid long, n int, words long, words2 long")
+        return got.select("key", *(F.col(c).alias(c + end) for c in ("cid", "n", "words", "words2")))
 
     a, b = side_keys("train", "_a"), side_keys("other", "_b")
-    n = {x: F.shiftright(f"at_{x}", _PLACE) for x in "ab"}
-    place = {x: F.col(f"at_{x}").bitwiseAND(F.lit((1 << _PLACE) - 1)) for x in "ab"}
-    most = F.greatest(n["a"], n["b"]) * SHARE
-    near = (F.least(n["a"], n["b"]) >= most - 1e-6) & (F.col("cid_a") != F.col("cid_b"))
-    # a seed both have at corresponding places is shifted by no more words than the longer text may have of its own
-    near = near & ((place["a"] == 0) | (place["b"] == 0) | (F.abs(place["a"] - place["b"]) <= F.greatest(n["a"], n["b"]) - most + 1e-6))
+    most = F.greatest("n_a", "n_b") * SHARE - 1e-6
+    near = (F.least("n_a", "n_b") >= most) & (F.col("cid_a") != F.col("cid_b"))
     for x, y in (("a", "b"), ("b", "a")):
-        near = near & (F.bit_count(F.col(f"words_{x}").bitwiseAND(F.bitwise_not(f"words_{y}"))) <= n[x] - most + 1e-6)
+        lacks = [F.bit_count(F.col(f"{c}_{x}").bitwiseAND(F.bitwise_not(f"{c}_{y}"))) for c in ("words", "words2")]
+        near = near & (lacks[0] + lacks[1] <= F.col(f"n_{x}") - most)
     pairs = a.join(b, "key").filter(near).select("cid_a", "cid_b").distinct()
     t = texts.select("cid", "seq")
     full = pairs.join(t.select(F.col("cid").alias("cid_a"), F.col("seq").alias("seq_a")), "cid_a").join(t.select(F.col("cid").alias("cid_b"), F.col("seq").alias("seq_b")), "cid_b")
