@@ -26,10 +26,10 @@ from lectern.sources.tables import stage
 
 LEAST, SHARE = 28, 0.85
 #: (words of a seed, seeds of a window, shortest and longest text in words). Short texts keep every seed of five words: with
-#: single words changed as often as SHARE allows, two of up to 35 words share one for sure. Longer ones keep the least of
-#: three seeds of six words: sure for eight words in a row. A pair is sought among short ones if its longer text is, and
-#: a text near the border is in both.
-SEEDS = ((5, 1, LEAST, 35), (6, 3, 31, 1 << 40))
+#: single words changed as often as SHARE allows, two of up to 31 words share one for sure. Longer ones keep the least of
+#: three seeds of six words: sure for eight words in a row. Short ones
+#: have these too, to meet longer ones.
+SEEDS = ((5, 1, LEAST, 31), (6, 3, LEAST, 1 << 40))
 #: Words of a seed of a chain.
 WORDS = 5
 #: Bytes of a word's hash in a sequence.
@@ -168,18 +168,24 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), seed)), pa.array(x.view(np.int64)), pa.array(k, pa.int64())], ["seed", "x", "k"])
 
 
+#: Bits of a set of words.
+_SET = 112
+
+
 def _seeds(hot: np.ndarray, often: dict[str, np.ndarray]):
-    """cid, seq -> the keys on which each sequence is joined, its length and its set of words as 128 bits: its kept seeds;
-    for those in ``hot`` (sorted) the seed with each of its rarest words. Works on all sequences of a batch at once."""
+    """cid, seq -> the keys on which each sequence is joined, its set of words as 112 bits with its length in 16 more (0: over
+    65,535): its kept seeds; for those in ``hot`` (sorted) the seed with each of its rarest words. Works on all sequences of
+    a batch at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             w, n, first, row = _laid(b, 1)
-            bit = (w * _M) >> np.uint64(57)
-            bits = np.uint64(1) << (bit & np.uint64(63))
-            sets = [np.bitwise_or.reduceat(np.where(bit >> np.uint64(6) == j, bits, np.uint64(0)), first).view(np.int64) for j in (0, 1)]
+            bit = (((w * _M) >> np.uint64(40)) * np.uint64(_SET)) >> np.uint64(24)
+            bits = np.uint64(1) << np.where(bit < 64, bit, bit - np.uint64(64))
+            sets = [np.bitwise_or.reduceat(np.where(half, bits, np.uint64(0)), first).view(np.int64) for half in (bit < 64, bit >= 64)]
+            sets[1] |= np.where(n < 1 << 16, n, 0) << (_SET - 64)
             r, h = _winnowed(w, n, first, row)
             if len(hot):
                 is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
@@ -191,8 +197,8 @@ def _seeds(hot: np.ndarray, often: dict[str, np.ndarray]):
                 at = np.repeat(start[x] - (np.cumsum(many) - many), many) + np.arange(many.sum())
                 r = np.concatenate([r[~is_hot], np.repeat(x, many)])
                 h = np.concatenate([h[~is_hot], _mix(np.repeat(y, many) * _M + rare[at])])
-            cols = (h.view(np.int64), b.column(0).to_numpy()[r], n[r].astype(np.int32), sets[0][r], sets[1][r])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cid", "n", "words", "words2"])
+            cols = (h.view(np.int64), b.column(0).to_numpy()[r], sets[0][r], sets[1][r])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cid", "words", "rest"])
 
     return run
 
@@ -332,15 +338,17 @@ def overlap_parts(records: DataFrame, splits: DataFrame, given: frozenset[str],
         yield from _seeds(*shared.value)(batches)
 
     def side_keys(which: str, end: str) -> DataFrame:
-        got = texts.filter(which).select("cid", "seq").mapInArrow(keys, "key long, cid long, n int, words long, words2 long")
-        return got.select("key", *(F.col(c).alias(c + end) for c in ("cid", "n", "words", "words2")))
+        got = texts.filter(which).select("cid", "seq").mapInArrow(keys, "key long, cid long, words long, rest long")
+        return got.select("key", *(F.col(c).alias(c + end) for c in ("cid", "words", "rest")))
 
     a, b = side_keys("train", "_a"), side_keys("other", "_b")
-    most = F.greatest("n_a", "n_b") * SHARE - 1e-6
-    near = (F.least("n_a", "n_b") >= most) & (F.col("cid_a") != F.col("cid_b"))
+    n = {x: F.shiftrightunsigned(f"rest_{x}", _SET - 64) for x in "ab"}
+    most = F.greatest(n["a"], n["b"]) * SHARE - 1e-6
+    near = F.least(n["a"], n["b"]) >= most
     for x, y in (("a", "b"), ("b", "a")):
-        lacks = [F.bit_count(F.col(f"{c}_{x}").bitwiseAND(F.bitwise_not(f"{c}_{y}"))) for c in ("words", "words2")]
-        near = near & (lacks[0] + lacks[1] <= F.col(f"n_{x}") - most)
+        lacks = [F.bit_count(F.col(f"{c}_{x}").bitwiseAND(F.bitwise_not(f"{c}_{y}")).bitwiseAND(F.lit(mask))) for c, mask in (("words", -1), ("rest", (1 << (_SET - 64)) - 1))]
+        near = near & (lacks[0] + lacks[1] <= n[x] - most)
+    near = (F.col("cid_a") != F.col("cid_b")) & (near | (n["a"] == 0) | (n["b"] == 0))
     pairs = a.join(b, "key").filter(near).select("cid_a", "cid_b").distinct()
     t = texts.select("cid", "seq")
     full = pairs.join(t.select(F.col("cid").alias("cid_a"), F.col("seq").alias("seq_a")), "cid_a").join(t.select(F.col("cid").alias("cid_b"), F.col("seq").alias("seq_b")), "cid_b")

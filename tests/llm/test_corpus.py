@@ -169,7 +169,7 @@ def test_overlaps_within_a_large_group_of_near_copies(spark, members, monkeypatc
     assert len(near) > 20_000 and got == near
 
 
-@pytest.mark.parametrize("n", range(28, 36))
+@pytest.mark.parametrize("n", range(28, 32))
 def test_texts_with_even_changes_share_a_seed(n):
     """The most single words that SHARE allows, spread so that no run of equal words is longer than it must be."""
     e = int(n * 0.15 + 1e-6)
