@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import speech
+from lectern.sources.tables import stage
 
 #: A shape is furniture if it follows at least so many different lines within texts, these are at least this share of its
 #: places there, and it is the whole of a record at least once.
@@ -38,8 +39,15 @@ def candidates(records: DataFrame) -> DataFrame:
 def learn(records: DataFrame) -> speech.Learned:
     """The furniture of ``records(text)``. Null and empty texts count for nothing; an empty table gives none; records
     delivered again change nothing, as only different lines before a line count."""
-    alone = records.filter(F.col("text").isNotNull() & ~F.col("text").contains("\n")).select(F.xxhash64(_shape(F.col("text"))).alias("h"))
-    found = alone.join(candidates(records).withColumn("h", F.xxhash64("shape")), "h").select("shape").distinct().limit(MOST + 1).collect()
+    could = stage(candidates(records).withColumn("h", F.xxhash64("shape")), "shapes")
+    # signs but digits and blanks: a shape has those of its line, with a month as one; lines with many more need no look
+    size = lambda c: F.char_length(F.translate(c, "0123456789 \t\r\u00a0", ""))
+    longest = could.agg(F.max(size(F.col("shape")))).first()[0]
+    if longest is None:
+        return speech.NOTHING
+    alone = records.filter(F.col("text").isNotNull() & ~F.col("text").contains("\n") & (F.col("text").contains("<") | (size(F.col("text")) <= longest + 10)))
+    alone = alone.select(F.xxhash64(_shape(F.col("text"))).alias("h"))
+    found = alone.join(could, "h").select("shape").distinct().limit(MOST + 1).collect()
     if len(found) > MOST:
         raise ValueError(f"more than {MOST} shapes recur between other lines")
     return speech.Learned(frozenset(r.shape for r in found)) if found else speech.NOTHING

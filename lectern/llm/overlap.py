@@ -37,7 +37,7 @@ WIDTH = 3
 #: A seed is frequent if it holds more than this share of a third of all words (there are about as many seeds): there
 #: are at most about 1/HOT such seeds. A word with more than this share of all words isn't rare. Both are told from one
 #: text in SAMPLED and decide on cost only, not on what is found.
-HOT, SAMPLED = 1e-5, 8
+HOT, SAMPLED = 1e-5, 32
 #: A seed held by fewer texts isn't frequent, whatever its share.
 FEW = 1000
 
