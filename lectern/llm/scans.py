@@ -1,8 +1,10 @@
 """Noise in text from scanned pages: broken and misread words, spaced-out words, page furniture.
 
 Method: an averaged-perceptron character editor. For every character of a suspicious word it scores keep, replace,
-delete and insert. A second one, with features of the place on the page, tells bare numbers that are furniture; line
-ends are joined by rule. Corpus-wide word counts decide what is suspicious and which edited word is accepted.
+delete and insert. A second one, with features of the place on the page, tells bare numbers that are furniture; a third
+tells hyphens at line ends that go from those that stay, where the corpus's words leave it open. Running heads and notes
+are known by their form or learned from their places (``furniture``). Corpus-wide word counts decide what is suspicious and
+which edited word is accepted: a misreading is rare beside its word, and no more frequent than misreading can make it.
 """
 
 from __future__ import annotations
@@ -17,13 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm import speech
+from lectern.llm import furniture, speech
 from lectern.llm.names import edits
+from lectern.sources.tables import stage
 from lectern.llm.encoding import repair
 
-#: A word is known if it makes up this share of all words (so at most 1/KNOWN are), and may be what a misread one
-#: stands for at TRUSTED. A misreading is RARER times rarer than its word.
-KNOWN, TRUSTED, RARER = 5e-6, 1e-5, 20
+#: Words of this share of all (so at most 1/KNOWN) are held by the editor, and those of TRUSTED are what it finds right
+#: words among; all others meet by a join (``train``). A misreading is RARER times rarer than its word, and has SLACK
+#: places more at most than the rate of misreading, taken from words with digits in them, lets expect (four times that).
+KNOWN, TRUSTED, RARER, SLACK = 5e-6, 1e-5, 20, 5
+#: Up to so many misread words are held by the workers (about 100 MB); more are joined to their texts.
+IN_MEMORY = 1_000_000
 #: Bound of the sample of rare words and of the vocabulary from which the editor is trained.
 SAMPLE, TRAINED = 20_000, 20_000
 SEED = 7
@@ -47,9 +53,7 @@ _INLINE = re.compile(
     rf"|{_DAY}\s+(?:PARLIAMENT\w*\s+DEBATES?|Oral\s+Replies|HOUSE\s+REPORTS)\s+\d{{1,4}}"
     rf"|(?:\d{{1,4}}\s+)?(?:PARLIAMENT\w*|P\s*A\s*R\s*L\s*I\s*A\s*M\s*E\s*N\s*T\s*A\s*R\s*Y)\s+DEBATES?(?:\s+(?:{_DAY}|\d{{1,4}}))?"
     rf"|\d{{1,4}}\s+(?:HOUSE\s+REPORTS|Oral\s+Replies)\s+{_DAY}|\[{_DAY}\]"
-    r"|Note:\s+This\s+electronic\s+copy\s+is\s+issued\s+for\s+information\s+only\."
-    r"|A\s+signed\s+copy\s+of\s+this\s+Report\s+is\s+kept\s+by\s+the\s+Editor\s+of\s+Debates\."
-    r"|Uncorrected\s+proof\s+-\s+not\s+for\s+citation\s+-\s+\d{1,4})"
+    r")"
 )
 _NUMBER_LINE = re.compile(r"(?m)^[ \t]*(\d{1,4})\.?[ \t]*(?:</?\w+>[ \t]*)?$")
 _ASKED = re.compile(r"\s*asked\s+the\s+Minister\s+for\s+[A-Za-z -]+?(?::-|\s|:)(?=\s*\d)")
@@ -122,7 +126,14 @@ def _align(noisy: str, clean: str) -> list[str] | None:
 class Editor:
     """The trained editor with the corpus's words."""
 
-    def __init__(self, counts: dict[str, int], total: int, hyphenated: frozenset[str], rare: list[str], lines: list[tuple[list[str], str]]):
+    def __init__(
+        self, counts: dict[str, int], total: int, hyphenated: frozenset[str], rare: list[str], lines: list[tuple[list[str], str]],
+        breaks: list[tuple[list[str], str]] = (), learned: speech.Learned = speech.NOTHING, rate: float = 1e-3,
+    ):
+        self.learned = learned
+        self.rate = rate
+        #: What the misread words of the corpus stand for; None: not resolved beforehand.
+        self.rights: dict[str, str] | None = None
         self.total = max(total, 1)
         self.counts = counts
         self.hyphenated = hyphenated
@@ -133,17 +144,27 @@ class Editor:
             for f, y in lines:
                 page.learn(f, y)
         self.page = page.freeze()
+        join = Perceptron()
+        for _ in range(3):
+            for f, y in breaks:
+                join.learn(f, y)
+        self.join = join.freeze()
         # what is known but a misreading of a much more frequent word is not known after all
         self.known = frozenset(counts)
         self.cache: dict[str, str | None] = {}
         strange = lambda w: any(not c.isalpha() or c in "†ﬁﬂ" for c in w)
-        wrong = {w for w, n in counts.items() if n < 1e-3 * self.total and (len(w) > 3 or strange(w)) and (p := self._edit(w, False)) and counts[p] >= (1 if strange(w) else 3) * RARER * n}
+        wrong = {w for w, n in counts.items() if n < 1e-3 * self.total and (len(w) > 3 or strange(w)) and (p := self._edit(w, False)) and counts[p] >= (1 if strange(w) else 3) * RARER * n and (strange(w) or self.plausible(n, counts[p]))}
         self.known = frozenset(counts.keys() - wrong)
+        self.longest = max(map(len, self.known), default=0)
         self.cache = {}
         plain = [w.encode() for w in self.known if w.isascii() and not any(c.isdigit() for c in w) and (len(w) > 1 or w in "ai")]
         #: What clean text is made of; anything else is looked at word by word.
         self.plain = frozenset(plain) | {w + b"'" for w in plain} | {b"'"}
 
+    def plausible(self, n: int, m: int) -> bool:
+        """Whether a word seen ``n`` times can be a misreading of one seen ``m`` times."""
+        return n <= SLACK + 4 * self.rate * m
+
     def _train(self, rare: list[str]) -> None:
         rng = random.Random(SEED)
         top = [w for w in sorted(self.counts, key=lambda w: (-self.counts[w], w)) if w.isalpha()][:TRAINED]
@@ -255,16 +276,19 @@ class Editor:
                 return x
         return None
 
-    def correct(self, w: str) -> str | None:
-        """What a lower-case word not known stands for, or None."""
+    def correct(self, w: str, n: int | None = None) -> str | None:
+        """What a lower-case word not known, seen ``n`` times in the corpus, stands for, or None."""
         if w in self.cache:
             return self.cache[w]
+        n = self.counts.get(w, 0) if n is None else n
         got = None
         strange = any(c.isdigit() or c in "†!|ﬁﬂ" for c in w)
         letters = sum(c.isalpha() for c in w)
         if letters and not any(ord(c) > 127 and c not in "†ﬁﬂ" for c in w) and not re.fullmatch(r"\d+(?:st|nd|rd|th|[a-z])?|(?:kshs|sh|k)\d+|[a-z]?\d+", w) and (len(w) > 3 or strange and len(w) > 1):
             plain = w.replace("†", "t").replace("ﬁ", "fi").replace("ﬂ", "fl") if strange else w
             got = plain if plain != w and plain in self.known else self._edit(w)
+            if got and not strange and not self.plausible(n, self.counts.get(got, 0)):
+                got = None
             if got is None and strange and letters >= 2 and ("†" in w or "ﬁ" in w or "ﬂ" in w or re.search(r"[a-z][0-9!|][a-z]", w)):
                 got = plain.replace("0", "o").replace("1", "l").replace("9", "g").replace("!", "i").replace("5", "s")
         if len(self.cache) > 300_000:
@@ -273,15 +297,27 @@ class Editor:
         return got
 
     def _joins(self, a: str, sign: str, gap: str, b: str) -> str | None:
-        """Line-join operation for a hyphen before white space: the joined text, or None to keep the hyphen."""
+        """Line-join operation for a hyphen before white space: the joined text, or None to keep the hyphen. The corpus's words
+        decide; where it has neither form, the perceptron."""
         x, y = a.lower(), b.lower()
-        if sign == "-" and f"{x}-{y}" in self.hyphenated and x + y not in self.known:
-            return None
+        if sign == "-" and x + y not in self.known:
+            if f"{x}-{y}" in self.hyphenated:
+                return None
+            if self.join:
+                s: dict[str, float] = {}
+                for f in break_features(a, sign, gap, b):
+                    for op, v in self.join.get(f, {}).items():
+                        s[op] = s.get(op, 0.0) + v
+                if s.get("keep", 0.0) > s.get("join", 0.0):
+                    return None
         return a + b
 
-    def fix(self, text: str) -> tuple[str, int]:
-        """(repaired text, noise found) of a text without its speaker label."""
+    def fix(self, text: str, rights: dict[str, str] | None = None) -> tuple[str, int]:
+        """(repaired text, noise found) of a text without its speaker label. ``rights``: what the text's own misread words
+        stand for; by default the editor's, if it has any; else each unknown word is looked up."""
         found = 0
+        before = text
+        rights = self.rights if rights is None else rights
         if not text.isascii():
             text = repair(text)[0] or ""
         # page furniture
@@ -290,6 +326,12 @@ class Editor:
         if any([x in body for x in _SIGNS]) or _DASHED.search(body):
             body, k = _INLINE.subn(" ", body)
             found += k
+        if self.learned.lines and (any([x in body.lower() for x in self.learned.signs]) if self.learned.signs else True):
+            if self.learned.inline:
+                body, k = self.learned.inline.subn(" ", body)
+                found += k
+            body, k = self.learned.lines.subn("", body)
+            found += k
         if body and (body[0].isdigit() or "\n" in body):
 
             def number(m: re.Match[str]) -> str:
@@ -325,11 +367,13 @@ class Editor:
         if text.isascii() and self.plain.issuperset(low.encode().translate(_BLANK).split()):
             return text, found
         if not all([w in self.known for w in WORD.findall(low)]) or _SINGLE.search(text):
-            text, k = self._words(text)
+            # words that weren't in the text before haven't been resolved with the corpus
+            new = frozenset(WORD.findall(low)) - frozenset(WORD.findall(before.lower())) if text != before else frozenset()
+            text, k = self._words(text, rights, new)
             found += k
         return text, found
 
-    def _words(self, text: str) -> tuple[str, int]:
+    def _words(self, text: str, rights: dict[str, str] | None, new: frozenset[str]) -> tuple[str, int]:
         toks = [(m.start(), m.end()) for m in WORD.finditer(text)]
         low = [text[a:b].lower() for a, b in toks]
         known = self.known
@@ -345,10 +389,10 @@ class Editor:
             # a spaced-out word: the widest run of pieces around here that makes a known word
             best = None
             lo = i
-            while lo > max(used + 1, 0) and i - lo < 14 and text[toks[lo - 1][1] : toks[lo][0]].isspace() and (len(low[lo - 1]) <= 4 or lo == i):
+            while lo > max(used + 1, 0) and toks[i][0] - toks[lo][0] < 2 * self.longest and text[toks[lo - 1][1] : toks[lo][0]].isspace() and (len(low[lo - 1]) <= 4 or lo == i):
                 lo -= 1
             hi = i
-            while hi + 1 < len(toks) and hi - i < 14 and text[toks[hi][1] : toks[hi + 1][0]].isspace() and (len(low[hi + 1]) <= 4 or hi == i or len(low[hi]) == 1):
+            while hi + 1 < len(toks) and toks[hi][1] - toks[i][1] < 2 * self.longest and text[toks[hi][1] : toks[hi + 1][0]].isspace() and (len(low[hi + 1]) <= 4 or hi == i or len(low[hi]) == 1):
                 hi += 1
             if hi > lo:
                 for x in range(lo, i + 1):
@@ -366,7 +410,7 @@ class Editor:
                 continue
             if single:
                 continue
-            got = self.correct(w)
+            got = self.correct(w) if rights is None or w in new or w in self.counts else rights.get(w)
             if got:
                 o = text[a:b]
                 edits_.append((a, b, got.upper() if o.isupper() and len(o) > 1 else got.capitalize() if o[:1].isupper() else got))
@@ -415,13 +459,24 @@ def paragraphs(text: str) -> str:
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _BLANK = bytes.maketrans(bytes(range(33, 39)) + bytes(range(40, 65)) + bytes(range(91, 97)) + bytes(range(123, 127)), b" " * (6 + 25 + 6 + 4))
-_SIGNS = ("[", "Page", "Vol.", "DEBATE", "Debate", "debates", "Replies", "REPLIES", "REPORTS", "copy", "proof")
+_SIGNS = ("[", "Page", "Vol.", "DEBATE", "Debate", "debates", "Replies", "REPLIES", "REPORTS")
 _GAP = re.compile(r"[-\xad¬]\s")
 _DASHED = re.compile(r"-\s\d")
 _HYPHENATED = re.compile(r"[A-Za-zÀ-ɏ]+(?:-[A-Za-zÀ-ɏ]+)+")
 
 
+#: A word before a number, and one after, on one line; what numbers look like.
+_BEFORE_NUMBER = re.compile(r"([a-z£]+)\.? ?(?=(\d[\d,.]*))")
+_AFTER_NUMBER = re.compile(r"(?<=\d) ([a-z]+)")
+
+
+def _number_kind(n: str) -> str:
+    return "#y" if len(n) == 4 and n[:2] in ("19", "20") else "#"
+
+
 def _count_words(given: frozenset[str]):
+    """text -> (word, n): words and hyphenated words; also "w #" (w before a number), "w #y" (a year), "# w" (after one)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[str] = Counter()
 
@@ -436,6 +491,9 @@ def _count_words(given: frozenset[str]):
                 n.update(WORD.findall(s))
                 if "-" in s:
                     n.update(_HYPHENATED.findall(s))
+                if _DIGIT.search(s):
+                    n.update([f"{w} {_number_kind(x.rstrip('.,'))}" for w, x in _BEFORE_NUMBER.findall(s)])
+                    n.update(["# " + w for w in _AFTER_NUMBER.findall(s)])
             if len(n) > 300_000:
                 yield out()
         yield out()
@@ -443,31 +501,128 @@ def _count_words(given: frozenset[str]):
     return run
 
 
-def train(records: DataFrame, given: frozenset[str]) -> Editor:
-    """An editor for ``records(text)``: words are counted over all rows; at most 1/KNOWN known words, SAMPLE rare ones
-    and SAMPLE lines with bare numbers (the ones of least hash) reach the driver."""
+_DIGIT = re.compile(r"\d")
+
+
+def train(records: DataFrame, given: frozenset[str], learned: speech.Learned | None = None) -> tuple[Editor, DataFrame]:
+    """(editor, rights) for ``records(text)``: rights(word, fixed) has every misread word of the records with what it stands
+    for.
+
+    Words are counted over all rows. The editor holds the words of a share of KNOWN at least (so at most 1/KNOWN); which
+    ones decides on where a word is looked up, not on what becomes of it: the others are resolved once each, against the
+    editor's words and, by an equi-join on confusable forms and forms less a letter, against each other. Samples for the
+    perceptrons are at most SAMPLE words, SAMPLE / 4 lines with bare numbers and as many line breaks (those of least hash).
+    """
+    learned = furniture.learn(records) if learned is None else learned
     texts = records.select("text").filter("text is not null")
-    counts = texts.mapInArrow(_count_words(given), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).persist()
-    try:
-        total = counts.filter(~F.col("word").contains("-")).agg(F.sum("n")).first()[0] or 0
-        known = {r.word: r.n for r in counts.filter((F.col("n") >= total * KNOWN) & (F.col("n") > 1)).collect()}
-        rare = [r.word for r in counts.filter((F.col("n") < max(total * KNOWN, 2.0)) & F.col("word").rlike("^[a-z0-9†!]{5,20}$")).orderBy(F.xxhash64("word"), "word").limit(SAMPLE).collect()]
-    finally:
-        counts.unpersist()
+    counts = stage(texts.mapInArrow(_count_words(given), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    plain = ~F.col("word").contains("-") & ~F.col("word").contains("#")
+    total = counts.filter(plain).agg(F.sum("n")).first()[0] or 0
+    known = {r.word: r.n for r in counts.filter((F.col("n") >= total * KNOWN) & (F.col("n") > 1)).collect()}
+    numbers = {w: n for w, n in known.items() if "#" in w}
+    words = {w: n for w, n in known.items() if "-" not in w and "#" not in w}
+    others = counts.filter(plain & ((F.col("n") < total * KNOWN) | (F.col("n") <= 1)))
+    rare = [r.word for r in others.filter(F.col("word").rlike("^[a-z0-9†!]{5,20}$")).orderBy(F.xxhash64("word"), "word").limit(SAMPLE).collect()]
+    often = {k: (sum(n for w, n in numbers.items() if (w[0] == "#" if k == "before" else w.endswith(" " + k))) + 1) / max(total, 1) for k in ("#", "#y", "before")}
     lines = []
-    sample = texts.filter(F.col("text").rlike(r"(?m)^[ \t]*\d{1,4}\.?[ \t]*$")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE // 4).collect()
-    for r in sample:
+    for r in texts.filter(F.col("text").rlike(r"(?m)^[ \t]*\d{1,4}\.?[ \t]*$")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE // 4).collect():
         body = r.text[speech.split_label(r.text, given)[3] :]
         for m in _NUMBER_LINE.finditer(body):
-            f = line_features(body, m.start(), m.end())
-            # a number the words around need is text: after one that asks for a quantity, or before a unit
-            rest = body[m.end() :].lstrip()[:20]
-            prev = body[: m.start()].rstrip()[-14:].lower()
-            year = re.fullmatch(r"(?:19|20)\d\d", m.group(1))
-            text_like = prev.endswith("since") and year or re.search(r"(?:page|no\.?|kshs\.?|sh\.?|k£)$", prev) or re.match(r"(?:million|years?|per)\b", rest)
-            lines.append((f, "text" if text_like else "furniture"))
+            lines.append((line_features(body, m.start(), m.end()), "text" if _wanted(body, m, words, numbers, often) else "furniture"))
+    breaks = []
     hyphenated = frozenset(w for w in known if "-" in w)
-    return Editor({w: n for w, n in known.items() if "-" not in w}, total, hyphenated, rare, lines)
+    for r in texts.filter(F.col("text").rlike(r"[-­¬]\s")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE // 4).collect():
+        for a, sign, gap, b in _BREAK.findall(r.text[speech.split_label(r.text, given)[3] :]):
+            joined, kept = (a + b).lower() in words, f"{a}-{b}".lower() in hyphenated
+            if joined != kept:
+                breaks.append((break_features(a, sign, gap, b), "join" if joined else "keep"))
+    spark = records.sparkSession
+    editor = Editor(words, total, hyphenated, rare, lines, breaks, learned)
+    shared = spark.sparkContext.broadcast(editor)
+
+    def misread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ed = shared.value
+        for b in batches:
+            n = sum(k for w, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if _STRANGE.search(w) and w.translate(_LOOKS_LIKE) in ed.counts)
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    # words with digits in them are misread for sure: how often that happens bounds how often a misreading can come up
+    base = sum(n for w, n in words.items() if len(w) > 3) or 1
+    editor.rate = (others.filter(F.col("word").rlike("[0-9!†]")).mapInArrow(misread, "n long").agg(F.sum("n")).first()[0] or 0) / base
+    shared = spark.sparkContext.broadcast(editor)
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ed = shared.value
+        for b in batches:
+            w, n = b.column(0).to_pylist(), b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([ed.correct(x, k) for x, k in zip(w, n)], pa.string())], ["word", "n", "fixed"])
+
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    first = stage(others.repartition(tasks, "word").mapInArrow(resolve, "word string, n long, fixed string"), "rights")
+    wrong = first.filter("fixed is null").mapInArrow(_forms(True), "key string, word string, n long")
+    right = counts.filter(plain & (F.col("n") >= RARER) & (F.col("n") < max(total * TRUSTED, 1))).mapInArrow(_forms(False), "key string, fixed string, m long")
+    near = wrong.join(right, "key").filter((F.col("word") != F.col("fixed")) & (F.col("m") >= RARER * F.col("n")) & (F.col("n") <= SLACK + 4 * editor.rate * F.col("m")))
+    second = near.groupBy("word").agg(F.max_by("fixed", F.struct("m", "fixed")).alias("fixed"))
+    return editor, first.filter("fixed is not null").select("word", "fixed").unionByName(second)
+
+
+def _forms(wrong: bool):
+    """word, n -> the keys by which a misread word meets the right one: what looks like it folded together, letter by letter and
+    with pairs of letters; for words of
+    LOST letters or more less a letter on one side (within the word; which side lost it is in the key)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, words, ns = [], [], []
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if len(w) <= 3 or not _EDITABLE.fullmatch(w):
+                    continue
+                own = {"=" + folded(w), "~" + w.translate(_FOLDS)}
+                if len(w) >= LOST and w.isalpha():
+                    less = {w[:i] + w[i + 1 :] for i in range(1, len(w) - 1)}
+                    own |= {("+" if wrong else "-") + x for x in less} | {("-" if wrong else "+") + w}
+                keys += own
+                words += [w] * len(own)
+                ns += [n] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(words, pa.string()), pa.array(ns, pa.int64())], ["key", "word" if wrong else "fixed", "n" if wrong else "m"])
+
+    return run
+
+
+_EDITABLE = re.compile("[a-z0-9†!ﬁﬂ]+")
+_STRANGE = re.compile("[a-z][0-9!†]|[0-9!†][a-z]")
+_LOOKS_LIKE = str.maketrans("01953!†", "olgssit")
+_FOLDS = str.maketrans({"c": "e", "0": "a", "o": "a", "1": "l", "i": "l", "!": "l", "9": "g", "b": "h", "5": "s", "u": "n", "†": "t"})
+
+
+def folded(w: str) -> str:
+    """A word with letters that scanning confuses (CONFUSIONS) taken together."""
+    for a, b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("rn", "m"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("li", "h")):
+        w = w.replace(a, b)
+    return w.translate(_FOLDS)
+
+
+def _wanted(body: str, m: re.Match[str], words: dict[str, int], numbers: dict[str, int], often: dict[str, float]) -> bool:
+    """Whether the words around a bare number want one there more than they don't, by the corpus: how much more often than
+    anywhere a number follows the word before, times how much more often than anywhere the word after follows a number.
+    A missing neighbour says nothing; two numbers in a row are hardly ever meant."""
+    kind = _number_kind(m.group(1))
+    before = re.search(r"([a-z£]+)\.?\s*$", body[: m.start()].lower())
+    after = re.match(r"\s*([a-z]+|\d)", body[m.end() :].lower())
+    score = 1.0
+    if before:
+        w = before.group(1)
+        score *= (numbers.get(f"{w} {kind}", 0) + 0.01) / (words.get(w, 0) + 1) / often[kind]
+    if after:
+        w = after.group(1)
+        score *= 0.01 if w.isdigit() else (numbers.get("# " + w, 0) + 0.01) / (words.get(w, 0) + 1) / often["before"]
+    return score > 1.0
+
+
+def break_features(a: str, sign: str, gap: str, b: str) -> list[str]:
+    """Features of a hyphen before white space, by what stands around it."""
+    x, y = a.lower(), b.lower()
+    return ["any", "sign:" + sign, "line" if "\n" in gap else "blank", "a:" + x[-3:], "b:" + y[:3], "ab:" + x[-2:] + y[:2], f"len{min(len(x), 6)}/{min(len(y), 6)}", "a=" + x, "cap" if a[:1].isupper() else "low"]
 
 
 def repaired(records: DataFrame, given: frozenset[str], editor: Editor | None = None) -> DataFrame:
@@ -475,22 +630,54 @@ def repaired(records: DataFrame, given: frozenset[str], editor: Editor | None =
     with the label kept, and the number of places put right.
 
     Null, empty and clean texts give no row; a text that is furniture only gives an empty ``fixed``. Repeated records
-    give rows each. True hyphens, numbers within sentences and the line breaks of lists stay.
+    give rows each. True hyphens, numbers within sentences and the line breaks of lists stay. Without an ``editor`` one is
+    trained on the records.
     """
-    editor = train(records, given) if editor is None else editor
+    rights = None
+    if editor is None:
+        editor, rights = train(records, given)
+        rights = stage(rights, "misread")
+        if rights.count() <= IN_MEMORY:
+            editor.rights = {r.word: r.fixed for r in rights.collect()}
+            rights = None
+        else:
+            editor.rights = {}
     shared = records.sparkSession.sparkContext.broadcast(editor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ed = shared.value
         for b in batches:
             ids, fixed, noise = [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            own = b.column(2).to_pylist() if b.num_columns > 2 else None
+            for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 end = speech.split_label(t, given)[3]
-                new, k = ed.fix(t[end:])
-                if k:
+                new, found = ed.fix(t[end:], None if own is None else dict(own[k] or ()))
+                if found:
                     ids.append(i)
                     fixed.append((t[:end] + " " if end else "") + paragraphs(new) if new.strip() else t[:end])
-                    noise.append(k)
+                    noise.append(found)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fixed, pa.string()), pa.array(noise, pa.int32())], ["rec_id", "fixed", "noise"])
 
-    return records.select("rec_id", "text").filter("text is not null").mapInArrow(run, "rec_id long, fixed string, noise int")
+    rows = records.select("rec_id", "text").filter("text is not null")
+    if rights is not None:
+        # too many misread words for memory: each text gets its own, met by its words
+        met = rows.select("text").mapInArrow(_strange_words(given, shared), "h long, word string").distinct().join(rights, "word")
+        met = met.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("word", "fixed"))).alias("own"))
+        rows = rows.withColumn("h", F.xxhash64("text")).join(met, "h", "left").select("rec_id", "text", "own")
+    return rows.mapInArrow(run, "rec_id long, fixed string, noise int")
+
+
+def _strange_words(given: frozenset[str], shared):
+    """text -> (hash of the text, word) of its words that the editor doesn't know."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ed = shared.value
+        for b in batches:
+            hs, ws = [], []
+            for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = {w for w in WORD.findall(t[speech.split_label(t, given)[3] :].lower()) if w not in ed.known}
+                hs += [h] * len(own)
+                ws += own
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ws, pa.string())], ["h", "word"])
+
+    return run

@@ -8,7 +8,7 @@ from hypothesis import given as hgiven
 from hypothesis import settings
 from hypothesis import strategies as st
 
-from lectern.llm import entity_link, furniture, names, speech, turns
+from lectern.llm import entity_link, furniture, names, scans, speech, turns
 
 GIVEN = names.given_names(["Oliver Sintor Wernochum", "Daniel Fumbel Kimdeshur", "Dorothy Jumbar Nenalre", "Paul Sintor Wernochum"])
 KEYS = [turns.speaker_key(*speech.split_label(f"{x}: y", GIVEN)[:2], GIVEN) for x in ("Mr. Wernochum", "Oliver Wernochum", "P. Wernochum", "Paul S. Wernochum", "Mr. Kimdeshur", "The Speaker", "Dorothy Nenalre")]
@@ -156,3 +156,51 @@ def test_furniture_is_learned_by_place(spark):
     df = spark.createDataFrame([(r,) for r in [*rows, None, ""]], "text string")
     assert furniture.learn(df).shapes == {"printed by order of the zug house - copy 0", "zugland gazette, 0th @"}
     assert furniture.learn(df.limit(0)) is speech.NOTHING
+
+
+COMMON = "the council has heard that water meters and harbour lamps are at the office of the town clerk".split()
+
+
+def _noisy_corpus(spark, extra=()):
+    rng = random.Random(6)
+    rows = [" ".join(rng.choices(COMMON, k=20)) + "." for _ in range(1500)]
+    rows += [" ".join(rng.choices(COMMON, k=9) + ["zelvara"] + rng.choices(COMMON, k=9)) for _ in range(60)]  # a rarer true word
+    rows += [" ".join(rng.choices(COMMON, k=9) + [w] + rng.choices(COMMON, k=9)) for w in extra]
+    return spark.createDataFrame(list(enumerate(rows)), "rec_id long, text string")
+
+
+def test_true_words_near_frequent_ones_stay():
+    words = dict.fromkeys(COMMON, 1_000_000)
+    ed = scans.Editor(words | {"beard": 30_000}, 3_000_000_000, frozenset(), [], [])
+    assert ed.correct("beard") is None and "beard" in ed.counts
+    # the same below the share of words in memory: the count comes with the word
+    ed = scans.Editor(words, 10_000_000_000, frozenset(), [], [])
+    ed.trusted = sorted(words)
+    ed.counts = words
+    assert ed.correct("beard", 30_000) is None
+    ed.cache.clear()
+    assert ed.correct("beard", 2) == "heard"
+
+
+def test_misread_words_of_any_frequency(spark, monkeypatch):
+    """Words too rare to be in memory are met by the join; kept in memory or joined, the rights give the same texts."""
+    df = _noisy_corpus(spark, ["hcard", "zclvara", "zelvra", "zelvarra", "off1ce", "zelvora", "quorn"])
+    monkeypatch.setattr(scans, "KNOWN", 0.01)
+    monkeypatch.setattr(scans, "TRUSTED", 0.01)
+    got = {r.word: r.fixed for r in scans.train(df, GIVEN)[1].collect()}
+    assert got == {"hcard": "heard", "zclvara": "zelvara", "zelvra": "zelvara", "zelvarra": "zelvara", "off1ce": "office", "zelvora": "zelvara"}
+    one = sorted(scans.repaired(df, GIVEN).collect())
+    monkeypatch.setattr(scans, "IN_MEMORY", 0)
+    assert sorted(scans.repaired(df, GIVEN).collect()) == one and len(one) == len(got)
+
+
+def test_running_heads_never_seen_before(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(40):
+        a, b = (" ".join(rng.choices(COMMON, k=8)) for _ in range(2))
+        rows += [f"{WHO[i % 30]} {a}\nZUG HOUSE DAILY, No. {i}\n{b}." if i % 2 else f"{WHO[i % 30]} {a} {b}.", f"Zug House Daily, no. {i + 100}" if i % 4 == 0 else a]
+    df = spark.createDataFrame(list(enumerate(rows)), "rec_id long, text string")
+    got = {r.rec_id: r.fixed for r in scans.repaired(df, GIVEN).collect()}
+    marked = {i for i, t in enumerate(rows) if "zug" in t.lower()}
+    assert set(got) == marked and not any("zug" in t.lower() for t in got.values())

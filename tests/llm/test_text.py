@@ -140,7 +140,7 @@ VOCABULARY = "the council cannot afford passport forms under existing regulation
 def editor(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choices(VOCABULARY, k=20)) + ".") for i in range(800)]
-    return scans.train(spark.createDataFrame(rows, "rec_id long, text string"), GIVEN)
+    return scans.train(spark.createDataFrame(rows, "rec_id long, text string"), GIVEN)[0]
 
 
 @pytest.mark.parametrize(("noisy", "clean"), [
