@@ -26,8 +26,8 @@ from lectern.sources.tables import stage
 
 LEAST, SHARE = 28, 0.85
 #: (words of a seed, seeds of a window, shortest and longest text in words). Short texts keep every seed of five words: with
-#: single words changed as often as SHARE allows, two of up to 31 words share one for sure. Longer ones keep the least of
-#: three seeds of six words: sure for eight words in a row. Short ones
+#: single words changed as often as SHARE allows, two of up to 31 words share one for sure. Longer ones keep one of
+#: every three seeds of six words: sure for eight words in a row. Short ones
 #: have these too, to meet longer ones.
 SEEDS = ((5, 1, LEAST, 31), (6, 3, LEAST, 1 << 40))
 #: Words of a seed of a chain.
@@ -127,11 +127,17 @@ def _winnowed(w: np.ndarray, n: np.ndarray, first: np.ndarray, row: np.ndarray)
         left = n[r] - at  # words from here on
         h = np.full(len(x) + window, np.iinfo(np.uint64).max, np.uint64)
         k = _rolling(x, words)
-        ok = left[: len(k)] >= words
-        h[: len(k)][ok] = k[ok] * np.uint64(2 * words + 1)  # seeds of each kind are keys of their own
-        win = np.stack([h[j : j + len(x)] for j in range(window)])
-        full = left >= words + window - 1
-        kept = np.unique((np.argmin(win, axis=0) + np.arange(len(x)))[full])
+        h[: len(k)] = k * np.uint64(2 * words + 1)  # seeds of each kind are keys of their own
+        if window == 1:
+            kept = np.flatnonzero(left >= words)
+        else:
+            # the least short hash of every words + window - 1 words picks one of its window seeds, by its place modulo
+            # window; that keeps fewer seeds than the least seed does, as sure for a run of that length
+            short = np.full(len(x) + 2 * window, np.iinfo(np.uint64).max, np.uint64)
+            k = _rolling(x, words - window)
+            short[: len(k)] = k
+            least = np.argmin(np.stack([short[j : j + len(x)] for j in range(2 * window)]), axis=0)
+            kept = np.unique((least % window + np.arange(len(x)))[left >= words + window - 1])
         kept = kept[np.lexsort((h[kept], r[kept]))]
         kept = kept[np.append(True, (np.diff(h[kept]) != 0) | (np.diff(r[kept]) != 0))]
         got.append((r[kept], h[kept]))
@@ -307,7 +313,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def overlap_parts(records: DataFrame, splits: DataFrame, given: frozenset[str], learned: speech.Learned | None = None) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members(cid, rec_id, file, train) has every record of LEAST words or more with the class of
+    """(members, links): members(cid, rec_id, file, train) has every record of LEAST words or more (repeated ones again) with the class of
     its words; links(cid_a, cid_b, common, chain, longer) has the class pairs, a class with itself included, of which
     one holds a train record and the other one of another split and that share SHARE of the longer's words in order.
 
@@ -319,7 +325,7 @@ def overlap_parts(records: DataFrame, splits: DataFrame, given: frozenset[str],
     rows = records.select("rec_id", "file", "text").mapInArrow(_classes(given, learned), "rec_id long, file string, cid long, seq binary")
     rows = stage(rows, "words")
     side = splits.filter("file is not null").groupBy("file").agg(F.min("split_name").alias("split_name"))
-    members = rows.select("rec_id", "file", "cid").join(side, "file").select("cid", "rec_id", "file", (F.col("split_name") == "train").alias("train")).distinct()
+    members = rows.select("rec_id", "file", "cid").join(side, "file").select("cid", "rec_id", "file", (F.col("split_name") == "train").alias("train"))
     members = stage(members, "members")
     use = members.groupBy("cid").agg(F.max("train").alias("train"), F.max(~F.col("train")).alias("other"))
     # texts, and with it every join on cid below, keeps the partitioning of this one aggregate
@@ -374,5 +380,5 @@ def overlap_report(records: DataFrame, splits: DataFrame, given: frozenset[str])
     part = links.select("cid_a", "cid_b", (F.col("common") / F.col("longer")).alias("c"))
     best = part.select(F.col("cid_a").alias("cid"), F.lit(True).alias("train"), "c").union(part.select("cid_b", F.lit(False), "c")).groupBy("cid", "train").agg(F.max("c").alias("c"))
     side = splits.filter("file is not null").groupBy("file").agg(F.min("split_name").alias("split_name"))
-    per = members.join(best, ["cid", "train"], "left").groupBy("file").agg(F.count("*").alias("records"), F.count("c").alias("overlapping"), F.round(F.avg("c"), 6).alias("mean_coverage"))
+    per = members.distinct().join(best, ["cid", "train"], "left").groupBy("file").agg(F.count("*").alias("records"), F.count("c").alias("overlapping"), F.round(F.avg("c"), 6).alias("mean_coverage"))
     return side.join(per, "file").select("split_name", "file", "records", "overlapping", "mean_coverage")

@@ -465,9 +465,22 @@ _DASHED = re.compile(r"-\s\d")
 _HYPHENATED = re.compile(r"[A-Za-zÀ-ɏ]+(?:-[A-Za-zÀ-ɏ]+)+")
 
 
-#: A word before a number, and one after, on one line; what numbers look like.
-_BEFORE_NUMBER = re.compile(r"([a-z£]+)\.? ?(?=(\d[\d,.]*))")
-_AFTER_NUMBER = re.compile(r"(?<=\d) ([a-z]+)")
+#: A number; the word before it and the one after, on one line.
+_NUMBER = re.compile(r"\d[\d,.]*")
+_WORD_BEFORE = re.compile(r"([a-z£]+)\.? ?$")
+_WORD_AFTER = re.compile(r" ([a-z]+)")
+
+
+def _around_numbers(s: str) -> Iterator[str]:
+    """What ``_count_words`` counts of the numbers of a text."""
+    for m in _NUMBER.finditer(s):
+        a, b = m.span()
+        w = _WORD_BEFORE.search(s, max(0, a - 30), a) if a and s[a - 1] in ". £" or s[a - 1 : a].isalpha() else None
+        if w:
+            yield f"{w.group(1)} {_number_kind(m.group().rstrip('.,'))}"
+        w = _WORD_AFTER.match(s, b)
+        if w and s[b - 1].isdigit():
+            yield "# " + w.group(1)
 
 
 def _number_kind(n: str) -> str:
@@ -491,9 +504,7 @@ def _count_words(given: frozenset[str]):
                 n.update(WORD.findall(s))
                 if "-" in s:
                     n.update(_HYPHENATED.findall(s))
-                if _DIGIT.search(s):
-                    n.update([f"{w} {_number_kind(x.rstrip('.,'))}" for w, x in _BEFORE_NUMBER.findall(s)])
-                    n.update(["# " + w for w in _AFTER_NUMBER.findall(s)])
+                n.update(_around_numbers(s))
             if len(n) > 300_000:
                 yield out()
         yield out()
@@ -501,9 +512,6 @@ def _count_words(given: frozenset[str]):
     return run
 
 
-_DIGIT = re.compile(r"\d")
-
-
 def train(records: DataFrame, given: frozenset[str], learned: speech.Learned | None = None) -> tuple[Editor, DataFrame]:
     """(editor, rights) for ``records(text)``: rights(word, fixed) has every misread word of the records with what it stands
     for.
@@ -661,14 +669,14 @@ def repaired(records: DataFrame, given: frozenset[str], editor: Editor | None =
     rows = records.select("rec_id", "text").filter("text is not null")
     if rights is not None:
         # too many misread words for memory: each text gets its own, met by its words
-        met = rows.select("text").mapInArrow(_strange_words(given, shared), "h long, word string").distinct().join(rights, "word")
+        met = rows.select(F.xxhash64("text").alias("h"), "text").mapInArrow(_strange_words(given, shared), "h long, word string").distinct().join(rights, "word")
         met = met.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("word", "fixed"))).alias("own"))
         rows = rows.withColumn("h", F.xxhash64("text")).join(met, "h", "left").select("rec_id", "text", "own")
     return rows.mapInArrow(run, "rec_id long, fixed string, noise int")
 
 
 def _strange_words(given: frozenset[str], shared):
-    """text -> (hash of the text, word) of its words that the editor doesn't know."""
+    """hash, text -> (hash, word) of its words that the editor doesn't know."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ed = shared.value
