@@ -16,12 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN = re.compile(r"[^\x00-\x7f]+")
-LAYERS = 4
 #: Decoders by which UTF-8 is commonly misread, in order of preference.
-MISREAD_UTF8 = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "latin-1")
+MISREAD_UTF8 = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "latin-1", "cp1250", "cp1253", "cp1254", "iso8859-15")
 #: (wrong decoder, right one) pairs of one-byte encodings.
 MISREAD_BYTE = (("mac_roman", "cp1252"), ("cp1251", "cp1252"), ("cp437", "cp1252"))
 
+#: The same for whole words in a script of its own: every letter is misread.
+MISREAD_WORD = (("cp1252", "cp1251"), ("latin-1", "cp1251"), ("cp1252", "koi8-r"), ("latin-1", "koi8-r"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp1252", "cp1253"), ("latin-1", "iso8859-7"))
+#: The shortest such word: shorter ones may be right as they are.
+WORD_LETTERS = 4
+
 
 def _table(enc: str) -> dict[str, int]:
     """Character to byte; a byte the encoding leaves undefined stands for the control character of its number, as
@@ -124,10 +128,40 @@ def _round_trips(run: str) -> Iterator[str]:
             yield "".join(out) + run[at:]
 
 
+def _whole_word(run: str) -> str | None:
+    """What a run of misread letters of another script stands for, if one reading is the more natural: three letters with
+    accents in a row, or capitals within words, tell of a misreading."""
+
+    def strangeness(x: str) -> int:
+        n = 0
+        for i, c in enumerate(x):
+            kin = _script(c)
+            n += (3 if not c.isalpha() else 0) + (kin == "LATIN" and 0 < i < len(x) - 1 and x[i - 1].isalpha() and x[i + 1].isalpha())
+            n += 2 * (i > 0 and c.isupper() and x[i - 1].islower()) + 2 * (i > 0 and kin != _script(x[i - 1])) + (c in "ґўѓќџљњћђєѕіїјё")
+        return n
+
+    own = strangeness(run)
+    best = (own, len(MISREAD_WORD), run)
+    for k, (wrong, right) in enumerate(MISREAD_WORD):
+        try:
+            got = run.encode(wrong).decode(right)
+        except UnicodeError:
+            continue
+        if all(_script(c) in ("CYRILLIC", "GREEK") for c in got):
+            best = min(best, (strangeness(got), k, got))
+    return best[2] if best[0] * 2 < own else None
+
+
+def _script(c: str) -> str:
+    return unicodedata.name(c, "").split(" ")[0]
+
+
 def repair_run(run: str, before: str, after: str) -> tuple[str, int, bool]:
     """(repaired run, layers undone, garbled): garbled also where nothing can be given back (replacement marks, remains)."""
+    if len(run) >= WORD_LETTERS and not _letter(before[-1:]) and not _letter(after[:1]) and (whole := _whole_word(run)):
+        return whole, 1, True
     now, layers, c = run, 0, cost(run, before, after)
-    while layers < LAYERS:
+    while True:  # every layer costs less than the one before, so this ends
         tries = [(cost(x, before, after), k, x) for k, x in enumerate(_round_trips(now))]
         if not tries or min(tries)[0] >= c:
             break

@@ -10,15 +10,19 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from math import exp, log
+from math import log
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A type is kept in the model only if it makes up this share of all of its kind in a language, so each list has at
-#: most 1/share entries whatever the corpus.
-ABBREVIATION_SHARE, STARTER_SHARE = 2e-5, 1e-4
+from lectern.sources.tables import stage
+
+#: Bound of what the model may hold: only types that pass the tests reach the driver, whatever their share of the corpus;
+#: more of them than this are an error, none is left out in silence.
+MOST = 2_000_000
+#: Times two words must meet at a period at least to be tested as a collocation.
+EVIDENCE = 5
 #: Log-likelihood ratio from which two events are taken as dependent (0.5 % level of chi square, one degree).
 DEPENDENT = 7.88
 
@@ -113,47 +117,60 @@ def likelihood_ratio(a: float, na: float, b: float, nb: float) -> float:
     return 2 * (ll(a, na, a / na) + ll(b, nb, b / nb) - ll(a, na, p) - ll(b, nb, p))
 
 
+def _ratio(a: Column, na: Column, b: Column, nb: Column) -> Column:
+    """``likelihood_ratio`` of columns."""
+
+    def ll(k: Column, n: Column, p: Column) -> Column:
+        p = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+        return k * F.log(p) + (n - k) * F.log(1 - p)
+
+    p = (a + b) / (na + nb)
+    return F.when((na > 0) & (nb > 0), 2 * (ll(a, na, a / na) + ll(b, nb, b / nb) - ll(a, na, p) - ll(b, nb, p))).otherwise(0.0)
+
+
 Model = dict[str, dict[str, dict[str, tuple[float, float]] | frozenset[str]]]
 
 
 def learn(documents: DataFrame) -> Model:
     """Per language: abbreviations with (share followed by a number, share followed by a capital that starts no
-    sentence), and sentence starters. Counts cover all documents; what reaches the driver is bounded by the shares."""
+    sentence), collocations and sentence starters. Counts cover all documents, and every type seen twice is tested, by
+    the executors; those that pass are collected."""
     counts = documents.select("text").filter("text is not null").mapInArrow(_count, "lang string, kind string, key string, n long")
     counts = counts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    by_key = counts.groupBy("lang", "key").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in ("period", "plain", "digit", "upper", "lower", "other", "start", "pair")))
-    by_key = by_key.persist()
-    try:
-        totals = {r.lang: r for r in by_key.groupBy("lang").agg(F.sum("period").alias("period"), F.sum("plain").alias("plain"), F.sum("start").alias("start")).collect()}
-        t = by_key.groupBy("lang").agg(F.sum("period").alias("tp"), F.sum("start").alias("ts"))
-        kept = by_key.join(F.broadcast(t), "lang").filter((F.col("period") > 1) & (F.col("period") >= F.col("tp") * ABBREVIATION_SHARE) | (F.col("start") > 1) & (F.col("start") >= F.col("ts") * STARTER_SHARE) | (F.col("pair") > 1) & (F.col("pair") >= F.col("tp") * ABBREVIATION_SHARE))
-        rows = kept.collect()
-    finally:
-        by_key.unpersist()
-    model: Model = {}
-    for lang, tot in totals.items():
-        own = [r for r in rows if r.lang == lang]
-        n = tot.period + tot.plain
-        starters = {r.key for r in own if r.start and likelihood_ratio(r.start, tot.start, r.plain, n) > DEPENDENT and r.start / max(tot.start, 1) > r.plain / max(n, 1)}
-        abbreviations = {}
-        for r in own:
-            c = r.period + r.plain
-            if not r.period or r.key.isdigit() or r.period / c < tot.period / max(n, 1):
-                continue
-            score = likelihood_ratio(r.period, c, tot.period - r.period, n - c)
-            letters = len(r.key.replace(".", ""))
-            score *= exp(-letters) * (r.key.count(".") + 1) * (letters or 1) ** -min(r.plain, 60.0)
-            follow = r.digit + r.upper + r.lower + r.other
-            if score >= 0.3 or follow and letters <= 6 and (r.digit + r.lower) / follow > (0.5 if r.period > 3 * r.plain else 0.8):
-                abbreviations[r.key] = (r.digit / follow if follow else 0.0, r.upper / follow if follow else 0.0)
-        upper = {r.key: r.upper for r in own if r.upper}
-        pairs = set()
-        for r in own:
-            if r.pair:
-                x, y = r.key.split(" ")
-                if r.pair >= 0.5 * upper.get(x, r.pair) and likelihood_ratio(r.pair, upper.get(x, r.pair), upper.get(y, 0), tot.period) > DEPENDENT:
-                    pairs.add((x, y))
-        model[lang] = {"abbreviations": abbreviations, "starters": frozenset(starters), "collocations": frozenset(pairs)}
+    kinds = ("period", "plain", "digit", "upper", "lower", "other", "start", "pair")
+    by_key = stage(counts.groupBy("lang", "key").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in kinds)), "types")
+    totals = by_key.groupBy("lang").agg(F.sum("period").alias("tp"), (F.sum("period") + F.sum("plain")).alias("tn"), F.sum("start").alias("ts"))  # a row per language
+    c = F.col
+    t = by_key.join(F.broadcast(totals), "lang")
+    # starters: begin sentences more than they come up
+    starter = (c("start") > 1) & (_ratio(c("start"), c("ts"), c("plain"), c("tn")) > DEPENDENT) & (c("start") / F.greatest("ts", F.lit(1)) > c("plain") / F.greatest("tn", F.lit(1)))
+    # abbreviations: end in a period more than words do, the longer the less easily, less so if also without one; or what
+    # follows goes on with the sentence
+    seen, letters = c("period") + c("plain"), F.char_length(F.replace("key", F.lit("."), F.lit("")))
+    dots = F.char_length("key") - letters
+    score = _ratio(c("period"), seen, c("tp") - c("period"), c("tn") - seen) * F.exp(-letters) * (dots + 1) * F.pow(F.greatest(letters, F.lit(1)), -F.least(c("plain"), F.lit(60)))
+    follow = c("digit") + c("upper") + c("lower") + c("other")
+    goes_on = (follow > 0) & (letters <= 6) & ((c("digit") + c("lower")) / follow > F.when(c("period") > 3 * c("plain"), 0.5).otherwise(0.8))
+    short = (c("period") > 1) & ~F.rlike("key", F.lit(r"^\d+$")) & (c("period") / seen >= c("tp") / F.greatest("tn", F.lit(1))) & ((score >= 0.3) | goes_on)
+    t = t.select("lang", "key", starter.alias("starter"), short.alias("short"), (F.when(follow > 0, c("digit") / follow).otherwise(0.0)).alias("digit"), (F.when(follow > 0, c("upper") / follow).otherwise(0.0)).alias("upper"))
+    # collocations: the second word follows the first one's period more than others do
+    up = by_key.filter("upper > 0").select("lang", "key", "upper")
+    pairs = by_key.filter(F.col("pair") >= EVIDENCE).select("lang", "pair", F.substring_index("key", " ", 1).alias("x"), F.substring_index("key", " ", -1).alias("y"))
+    pairs = pairs.join(up.select("lang", F.col("key").alias("x"), F.col("upper").alias("ux")), ["lang", "x"], "left").join(up.select("lang", F.col("key").alias("y"), F.col("upper").alias("uy")), ["lang", "y"], "left")
+    pairs = pairs.join(F.broadcast(totals), "lang").withColumn("ux", F.coalesce("ux", "pair"))
+    pairs = pairs.filter((c("pair") >= 0.5 * c("ux")) & (_ratio(c("pair"), c("ux"), F.coalesce("uy", F.lit(0)), c("tp")) > DEPENDENT))
+    found = t.filter("starter or short").limit(MOST + 1).collect()
+    together = pairs.select("lang", "x", "y").limit(MOST + 1).collect()
+    if max(len(found), len(together)) > MOST:
+        raise ValueError(f"more than {MOST} abbreviations, starters or collocations")
+    model: Model = {r.lang: {"abbreviations": {}, "starters": set(), "collocations": set()} for r in totals.collect()}
+    for r in found:
+        if r.short:
+            model[r.lang]["abbreviations"][r.key] = (r.digit, r.upper)
+        if r.starter:
+            model[r.lang]["starters"].add(r.key)
+    for r in together:
+        model[r.lang]["collocations"].add((r.x, r.y))
     return model
 
 
@@ -175,7 +192,7 @@ def _thai(p: str, base: int, out: list[tuple[int, int]]) -> None:
     at, quotes = 0, _quoted(p)
     for m in re.finditer(r"\s+", p):
         s, e = m.span()
-        if s and e < len(p) and (p[s - 1].isdigit() or p[e].isdigit() or "\n" in m.group() and False) or any(a < s < b for a, b in quotes):
+        if s and e < len(p) and (p[s - 1].isdigit() or p[e].isdigit()) or any(a < s < b for a, b in quotes):
             continue
         _add(p, at, s, base, out)
         at = e
