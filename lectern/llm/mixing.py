@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from lectern.llm.tokens import count_tokens
 from lectern.sources.tables import stage
 
-#: Hash buckets of a source: the fraction is filled bucket by bucket, and only the last bucket record by record.
+#: Hash buckets of a source: the fraction is filled bucket by bucket, the last bucket again by buckets of its own, and only
+#: the last of those (a millionth of the source) record by record.
 BUCKETS = 1024
 
 
@@ -62,18 +63,22 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
         whole = int(e + 1e-9)
         plan.append((s, whole, max(0.0, take[s] - whole * n)))
     plan_df = F.broadcast(spark.createDataFrame(plan, "source string, whole int, extra double"))  # a row per target
-    mine = mine.withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int")).join(plan_df, "source")
-    fill = mine.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"))
-    fill = fill.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")))
-    fill = fill.select("source", "bucket", (F.col("upto") - F.col("n")).alias("before"), "upto")
-    if len(names) <= 100:
-        fill = F.broadcast(fill)  # BUCKETS rows for each of at most 100 sources
-    placed = mine.join(fill, ["source", "bucket"])
+    rows = mine.join(plan_df, "source").withColumn("base", F.lit(0))
+    done = []
+    for level in (0, 1):
+        rows = rows.withColumn("bucket", F.pmod(F.shiftright("h", 10 * level), F.lit(BUCKETS)).cast("int"))
+        fill = rows.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"), F.min("base").alias("start"))
+        fill = fill.withColumn("upto", F.col("start") + F.sum("n").over(Window.partitionBy("source").orderBy("bucket")))
+        fill = fill.select("source", "bucket", (F.col("upto") - F.col("n")).alias("before"), "upto")
+        if len(names) <= 100:
+            fill = F.broadcast(fill)  # BUCKETS rows for each of at most 100 sources
+        placed = rows.join(fill, ["source", "bucket"])
+        at_edge = (F.col("before") < F.col("extra")) & (F.col("upto") > F.col("extra"))
+        done.append(placed.filter(~at_edge).withColumn("more", (F.col("upto") <= F.col("extra")).cast("int")).select("doc_id", "source", "n_tokens", "whole", "more"))
+        rows = placed.filter(at_edge).withColumn("base", F.col("before")).drop("bucket", "before", "upto")
     w = Window.partitionBy("source").orderBy("h", "doc_id")
-    edge = placed.filter((F.col("before") < F.col("extra")) & (F.col("upto") > F.col("extra")))
-    edge = edge.withColumn("more", (F.col("before") + F.sum("n_tokens").over(w) - F.col("n_tokens") / 2 <= F.col("extra")).cast("int"))
-    clear = placed.filter((F.col("before") >= F.col("extra")) | (F.col("upto") <= F.col("extra"))).withColumn("more", (F.col("upto") <= F.col("extra")).cast("int"))
-    records = clear.unionByName(edge).select("doc_id", "source", "n_tokens", (F.col("whole") + F.col("more")).alias("copies")).filter("copies > 0")
+    last = rows.withColumn("more", (F.col("base") + F.sum("n_tokens").over(w) - F.col("n_tokens") / 2 <= F.col("extra")).cast("int")).select("doc_id", "source", "n_tokens", "whole", "more")
+    records = done[0].unionByName(done[1]).unionByName(last).select("doc_id", "source", "n_tokens", (F.col("whole") + F.col("more")).alias("copies")).filter("copies > 0")
     used = records.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"))
     goal = spark.createDataFrame([(r.source, r.target_share, r.max_repeats, per.get(r.source, 0), take[r.source] + 1e-6 >= (r.max_repeats or 0) * per.get(r.source, 0)) for r in wanted], "source string, target_share double, max_repeats int, available_tokens long, capped boolean")
     shares = goal.join(used, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))

@@ -221,3 +221,14 @@ def test_reading_of_lines():
     assert speech.spoken("(2.01 p.m.) I, um, said [Laughter] erm... so\n- 12 -\n*coughs* yes</b>") == "I, said so yes"
     assert speech.is_heading("<Header>Bills</Header>") and speech.is_heading("PAPERS LAID") and not speech.is_heading("PARLIAMENTARY DEBATES") and not speech.is_heading("[Prayers]") and not speech.is_heading(None)
     assert not speech.has_words("- 12 -") and not speech.has_words("(Applause)") and speech.has_words("No!") and not speech.has_words("")
+
+
+def test_deficits_count_what_the_state_holds(spark):
+    """A large file in train, then four small new ones: none of them may go to train; old files stay in the result."""
+    state = splits.split_table(_records(spark, [[], [("Vol 5 No. 5", 600)]]))
+    assert {r.split for r in state.collect()} == {"train"}
+    got = splits.assign_splits(_records(spark, [[], [("vol_5_num_5.txt", 2)], [("Vol 6 No. 1", 10)], [("Vol 7 No. 1", 10)], [("Vol 8 No. 1", 10)], [("Vol 9 No. 1", 10)]]), state).collect()
+    by = {r.file: r for r in got}
+    assert len(by) == 6 and by["Vol 5 No. 5"].split == by["vol_5_num_5.txt"].split == "train"
+    assert by["Vol 5 No. 5"].component == by["vol_5_num_5.txt"].component == state.first().component
+    assert {r.split for f, r in by.items() if f[4] in "6789"} == {"dev", "test"}
