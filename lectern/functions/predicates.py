@@ -93,3 +93,11 @@ def override_applies(c: Column) -> Column:
     """Whether a lone heading can't be one: under 4 characters, signs and digits only, or a short line with a weekday."""
     n = F.char_length(c)
     return (n < 4) | _like(c, P.OVERRIDE_SIGNS) | ((n < 20) & _like(c, f"(?i){P.WEEKDAYS}"))
+
+
+def label_hits(c: Column, headers: list[str]) -> Column:
+    """How many of the tests for header, subheader, subsubheader, scene and speech a line passes; 0 where it is garbage or
+    punctuation, which are told first. More than one is a conflict that the order of the rules settles."""
+    tests = (is_header(c, headers), is_subheader(c, headers), is_subsubheader(c), is_scene(c), is_speech(c))
+    n = sum((F.coalesce(t, F.lit(False)).cast("int") for t in tests), F.lit(0))
+    return F.when(is_garbage(c) | is_punct(c, True), 0).otherwise(n)

@@ -135,6 +135,12 @@ def bio_codes(c: Column) -> Column:
     return F.concat(codes, F.array(F.lit(1)))
 
 
+def bio_decode(codes: Column) -> Column:
+    """The letters of ``bio_codes``, up to the end sign; other codes are left out."""
+    upto = F.when(F.array_contains(codes, 1), F.slice(codes, F.lit(1), F.greatest(F.array_position(codes, 1).cast("int") - 1, F.lit(0)))).otherwise(codes)
+    return F.array_join(F.filter(F.transform(upto, lambda x: F.when(x == 2, "B").when(x == 3, "I").when(x == 4, "O")), lambda x: x.isNotNull()), "")
+
+
 def encode_chars(c: Column, context: Column | None = None) -> Column:
     """Character ids (code + 3) ended by 1; a context follows after the separator 2, which takes the place of that end."""
     ids = lambda x: F.transform(F.filter(F.split(x, ""), lambda y: y != ""), lambda y: F.ascii(y) + 3)

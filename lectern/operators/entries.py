@@ -92,3 +92,11 @@ def results(documents: DataFrame, entries: DataFrame, meta: DataFrame, doc: str
     out = documents.select(F.col(doc).alias("doc")).distinct().join(listed, "doc", "left").join(meta, "doc", "left")
     m = F.when(F.col("entries").isNotNull(), F.struct("start_date", "end_date"))
     return out.select("doc", F.to_json(F.struct(m.alias("meta"), F.col("entries")), {"ignoreNullFields": "false"}).alias("result"))
+
+
+def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of one of two tables of entries that the other doesn't have, by all columns, with nulls equal to nulls, each as
+    often as it is too many; ``side`` is a or b. Equal tables give none."""
+    cols = sorted(a.columns)
+    x, y = a.select(*cols), b.select(*cols)
+    return x.exceptAll(y).withColumn("side", F.lit("a")).unionByName(y.exceptAll(x).withColumn("side", F.lit("b")))

@@ -6,13 +6,14 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import patterns as P
 from lectern.functions.predicates import refine_header
-from lectern.functions.text import truncate
-from lectern.operators import entries, labels, spans
+from lectern.functions.text import bio2span, span2bio, truncate
+from lectern.operators import entries, labels, spans, supervised
 from lectern.operators.lines import line_context
 from lectern.operators.training import code_label
 
@@ -23,6 +24,8 @@ class Predictor(Protocol):
     def __call__(self, texts: list[str], contexts: list[str]) -> list: ...
 
 
+#: Share of a task's calls that may fail.
+FAILED = 0.5
 BATCH = {"line_type": 50, "span": 10, "has_speaker": 50}
 
 
@@ -30,7 +33,8 @@ def predict(lines: DataFrame, predictor: Predictor, column: str, kind: str, batc
     """``lines`` with ``column`` from a model that is called with ``batch`` texts at a time, in Arrow batches.
 
     Texts come with their context, cut to the model's length. With ``only`` a label, other lines are not sent to the
-    model at all and get ``default``. A failed call leaves nulls for its texts.
+    model at all and get ``default``. A failed call leaves nulls for its texts; a task in which more than FAILED of the calls
+    fail raises the last error.
     """
     df = line_context(lines) if context else lines.withColumn("context", F.lit("")).withColumn("prev_context", F.lit("")).withColumn("next_context", F.lit(""))
     df = df.withColumn("_in", truncate(F.col("text"), F.col("context")))
@@ -39,13 +43,18 @@ def predict(lines: DataFrame, predictor: Predictor, column: str, kind: str, batc
     def run(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, contexts in it:
             out: list = []
+            calls, errors = 0, []
             for i in range(0, len(texts), batch):
+                calls += 1
                 t, c = list(texts[i : i + batch]), list(contexts[i : i + batch])
                 try:
                     got = list(predictor(t, c))
-                except Exception:  # the model's own errors cost only its batch
+                except Exception as e:  # the model's own errors cost only its batch
+                    errors.append(e)
                     got = [None] * len(t)
                 out += got
+            if len(errors) > FAILED * calls:
+                raise RuntimeError(f"{len(errors)} of {calls} calls of the model failed") from errors[-1]
             yield pd.Series(out, dtype=object if kind == "string" else None)
 
     drop = ("_in", "context", "prev_context", "next_context")
@@ -60,9 +69,12 @@ def _rule_lines(lines: DataFrame, headers: list[str], **_) -> DataFrame:
     return labels.label_lines(lines, headers)
 
 
-def _supervised_lines(lines: DataFrame, headers: list[str], predictor: Predictor | None = None, **_) -> DataFrame:
+def _supervised_lines(lines: DataFrame, headers: list[str], predictor: Predictor | PipelineModel | None = None, **_) -> DataFrame:
     if predictor is None:
-        raise ValueError("the supervised labeler needs a predictor")
+        raise ValueError("the supervised labeler needs a predictor or a model")
+    if isinstance(predictor, PipelineModel):
+        got = supervised.predict_line_types(predictor, line_context(lines), "_name").drop("context", "prev_context", "next_context")
+        return got.withColumn("label", F.when(F.col("_name") == "header", refine_header(F.col("text"), headers)).otherwise(F.col("_name"))).drop("_name")
     df = predict(lines, predictor, "_code", "int", BATCH["line_type"])
     name = code_label(F.col("_code"))
     return df.withColumn("label", F.when(name == "header", refine_header(F.col("text"), headers)).otherwise(name)).drop("_code")
@@ -72,18 +84,26 @@ def _rule_spans(labelled: DataFrame, **_) -> DataFrame:
     return spans.label_spans(labelled)
 
 
-def _hybrid_spans(labelled: DataFrame, predictor: Predictor | None = None, **_) -> DataFrame:
+def _hybrid_spans(labelled: DataFrame, predictor: Predictor | PipelineModel | None = None, **_) -> DataFrame:
     if predictor is None:
-        raise ValueError("the hybrid labeler needs a predictor")
+        raise ValueError("the hybrid labeler needs a predictor or a model")
+    if isinstance(predictor, PipelineModel):
+        speech = F.col("label").eqNullSafe("speech")
+        flagged = supervised.predict_has_speaker(predictor, line_context(labelled)).drop("context", "prev_context", "next_context")
+        return spans.hybrid_spans(spans.label_spans(flagged.withColumn("has_speaker", F.when(speech, F.col("has_speaker")).otherwise(0))))
     return spans.hybrid_spans(spans.label_spans(predict(labelled, predictor, "has_speaker", "int", BATCH["has_speaker"], "speech", 0)))
 
 
-def _supervised_spans(labelled: DataFrame, predictor: Predictor | None = None, **_) -> DataFrame:
+def _supervised_spans(labelled: DataFrame, predictor: Predictor | PipelineModel | None = None, **_) -> DataFrame:
     if predictor is None:
-        raise ValueError("the supervised labeler needs a predictor")
+        raise ValueError("the supervised labeler needs a predictor or a model")
+    if isinstance(predictor, PipelineModel):
+        base = spans.label_spans(labelled).drop("start", "end", "bio")
+        asked = base.filter(F.col("label").eqNullSafe("speech")).select("doc", "line_no", F.col("scan").alias("text"))
+        got = supervised.predict_spans(predictor, asked, ["doc", "line_no"]).select("doc", "line_no", "start", "end")
+        out = base.join(got, ["doc", "line_no"], "left")
+        return out.withColumn("bio", span2bio(F.char_length("scan"), F.col("start"), F.col("end")))
     df = predict(spans.label_spans(labelled).drop("start", "end", "bio"), predictor, "_bio", "string", BATCH["span"], "speech", "")
-    from lectern.functions.text import bio2span, span2bio
-
     bio = F.substring_index(F.regexp_replace(F.col("_bio"), " ", ""), "<eos>", 1)
     s = bio2span(bio)
     return df.withColumn("start", s["start"]).withColumn("end", s["end"]).withColumn("bio", span2bio(F.char_length("scan"), F.col("start"), F.col("end"))).drop("_bio")
@@ -94,8 +114,8 @@ SPAN_LABELERS: dict[str, Callable[..., DataFrame]] = {"rule": _rule_spans, "hybr
 
 
 def parse(
-    lines: DataFrame, headers: list[str], line_labeler: str = "rule", span_labeler: str = "rule", line_predictor: Predictor | None = None,
-    span_predictor: Predictor | None = None, fix_words: bool = True, dictionary: frozenset[str] = frozenset(), unmerged: bool = False,
+    lines: DataFrame, headers: list[str], line_labeler: str = "rule", span_labeler: str = "rule", line_predictor: Predictor | PipelineModel | None = None,
+    span_predictor: Predictor | PipelineModel | None = None, fix_words: bool = True, dictionary: frozenset[str] = frozenset(), unmerged: bool = False,
 ) -> DataFrame:
     """Entries of ``lines(doc, line_no, text, tags)``: label, override, spans, names, merge, headings, pruning.
 

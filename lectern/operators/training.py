@@ -110,6 +110,17 @@ def class_weights(labels: DataFrame, column: str = "label") -> DataFrame:
     return n.select(column, "n", (F.col("n") / F.sum("n").over(w)).alias("share"), (1 / (F.col("n") * F.count("*").over(w))).alias("weight"))
 
 
+def share_weights(df: DataFrame, column: str) -> DataFrame:
+    """(column, n, weight): 1/share of each value among all rows, so that rare ones weigh more; nulls are a value."""
+    n = df.groupBy(column).agg(F.count("*").alias("n"))
+    return n.select(column, "n", (F.sum("n").over(Window.partitionBy(F.lit(1))) / F.col("n")).alias("weight"))
+
+
+def total_sort(df: DataFrame, keys: tuple[str, ...] = ("year", "file", "line")) -> DataFrame:
+    """Rows in one order over all partitions: a range-partitioned sort on the keys, so a file of any size is many tasks."""
+    return df.orderBy(*keys)
+
+
 def hash_share(*keys: Column, seed: int = 0) -> Column:
     """A number in [0, 1) from the keys, the same in any engine that has md5."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *(k.cast("string") for k in keys), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / 4294967296.0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import patterns as P
 from lectern.functions import predicates, text
-from lectern.operators import entries, labels, lines, models, sittings, spans, training
+from lectern.operators import entries, labels, lines, models, sittings, spans, supervised, training
 from lectern.sources import files
 from lectern.sources.tables import table
 
@@ -342,6 +342,46 @@ def files_not_labelled(spark, d):
     return _records(spark, d).select("file").distinct().join(_types(spark, d).select("file"), "file", "left_anti")
 
 
+def label_conflicts(spark, d):
+    h = predicates.label_hits(F.col("text"), _headers(spark, d))
+    return labels.label_lines(_lines(spark, d), _headers(spark, d)).groupBy("label", h.alias("hits")).agg(F.count("*").alias("n"))
+
+
+def share_weights(spark, d):
+    return training.share_weights(training.usable(_types(spark, d)), "label").select("label", "n", F.round("weight", 9).alias("weight"))
+
+
+def total_sort(spark, d):
+    return training.total_sort(table(spark, d, TALK).select("rec_id", "year", "file", "line"), ("year", "file", "line", "rec_id"))
+
+
+def vocabulary_texts(spark, d):
+    got = files.vocabulary_texts([(table(spark, d, TALK), "text"), (table(spark, d, TYPES), "text"), (table(spark, d, "headers"), "header")])
+    return got.groupBy("text").agg(F.count("*").alias("n"))
+
+
+def bio_decoded(spark, d):
+    s = training.with_bio(training.default_spans(table(spark, d, TALK).select("rec_id", "text", "start", "end").distinct()))
+    return s.select("rec_id", "start", "end", text.bio_decode(text.bio_codes(F.col("bio"))).alias("bio"))
+
+
+def merge_turns(spark, d):
+    l = labels.override_headers(labels.label_lines(lines.split_lines(table(spark, d, "documents")), _headers(spark, d)))
+    return entries.merge_entries(spans.speeches_only(spans.extract_names(spans.label_spans(l)))).select("doc", "entry", "entry_type", "speaker", "text")
+
+
+def appointment_glue(spark, d):
+    return _named(spark, d).filter(F.rlike("speaker", F.lit("[()]"))).select("doc", "line_no", "speaker", "said")
+
+
+def supervised_line_types(spark, d):
+    t = training.usable(_types(spark, d)).filter("text is not null").select("folder", "file", "line", "label", "text").distinct()
+    t = training.split(lines.line_context(t, group=["folder", "file"], order=["line", "label", "text"]), ["file"])
+    model = supervised.fit_line_types(t.filter("split = 'train'"))
+    got = supervised.predict_line_types(model, t.filter("split <> 'train'"), "predicted")
+    return got.groupBy("label", "predicted").agg(F.count("*").alias("n"))
+
+
 def debug_head(spark, d):
     return table(spark, d, "documents").select("doc_id", F.substring("text", 1, 1500).alias("head"))
 
@@ -631,6 +671,13 @@ SELECT doc, line_no, CASE WHEN speaker IS NOT NULL THEN string_agg(speaker, ' ')
     "merge_entries": f"WITH {_MERGED} SELECT doc, entry, entry_type, speaker, text FROM merged",
     "distribute_headers": f"WITH {_HEADED} SELECT doc, entry, entry_type, header, subheader, subsubheader, text FROM headed",
     "entries_full": _FULL,
+    "label_conflicts": f"WITH {_LABELLED0}, x AS (SELECT label, CASE WHEN {_pred('garbage')} OR {_pred('punct')} THEN 0 ELSE {' + '.join(f'coalesce({_pred(k)}, false)::INT' for k in ('header', 'subheader', 'subsubheader', 'scene', 'speech'))} END AS hits FROM labelled0) SELECT label, hits, count(*) AS n FROM x GROUP BY label, hits",
+    "share_weights": f"WITH {_USABLE} SELECT label, count(*) AS n, round((SELECT count(*) FROM usable) / count(*), 9) AS weight FROM usable GROUP BY label",
+    "total_sort": f"SELECT rec_id, year, file, line FROM {TALK} ORDER BY year NULLS FIRST, file NULLS FIRST, line NULLS FIRST, rec_id",
+    "vocabulary_texts": f"SELECT text, count(*) AS n FROM (SELECT text FROM {TALK} UNION ALL SELECT text FROM {TYPES} UNION ALL SELECT header FROM headers) WHERE text IS NOT NULL GROUP BY text",
+    "bio_decoded": f"WITH {_SPAN} SELECT rec_id, s AS start, e AS \"end\", bio FROM sp",
+    "merge_turns": f"WITH {_MERGED.replace(_LINES, _DOC_LINES)} SELECT doc, entry, entry_type, speaker, text FROM merged",
+    "appointment_glue": f"WITH {_NAMED} SELECT doc, line_no, speaker, said FROM named WHERE regexp_matches(speaker, '[()]')",
     "entries_fixed": _fixed_entries_sql(),
     "fix_header_words": f"WITH RECURSIVE {_LABELLED0}, heads AS (SELECT doc, line_no, lower(text) AS low FROM labelled0 WHERE label IN ('header', 'subheader')), {_words_sql('heads', 'low')} SELECT doc, line_no, fixed FROM heads JOIN fixed ON raw = low",
     "speech_only_predict": f"WITH {_LABELLED} SELECT doc, line_no, CASE WHEN label = 'speech' AND length(text) < 60 THEN 1 ELSE 0 END AS has_speaker FROM labelled",
@@ -669,7 +716,7 @@ QUERIES = {
     for f in (
         entries_full, ascii_fold, split_lines_renumber, line_range_scan, clean_text_functions, tag_extract, parenthesised_names, page_predicates, header_dictionary_semi,
         header_dictionary_anti, label_rule, label_rule_tags, label_rule_documents, header_override, label_audit, header_refine, span_detect, speaker_extract, hybrid_span,
-        continued_name, parse_speaker_name, legacy_parse_name, merge_entries, distribute_headers, entries_fixed, fix_header_words, parse_diagnostics, sitting_metadata, result_json,
+        label_conflicts, share_weights, total_sort, vocabulary_texts, bio_decoded, merge_turns, appointment_glue, supervised_line_types, continued_name, parse_speaker_name, legacy_parse_name, merge_entries, distribute_headers, entries_fixed, fix_header_words, parse_diagnostics, sitting_metadata, result_json,
         line_context_4, truncate_2048, speech_only_predict, span2bio_bio2span, span_quality, bio_tokens, encode_chars, class_weights, label_quality, label_codes,
         label_set_difference, split_by_sitting, split_by_line, split_lines_semi, augment_split_md5, duplicate_without_garbage, upsample_weighted, prep_training_lines, context_join,
         meta_files, label_ids_left_join, missing_ids_anti, label_text_left_join, batch_ids, raw_line_lookup, escapes, files_not_labelled, debug_head,

@@ -79,6 +79,35 @@ def write_shards(df: DataFrame, path: str, shards: int) -> None:
     df.repartition(shards).write.mode("overwrite").parquet(path)
 
 
+def write_training_shards(df: DataFrame, path: str, train: int = 9, evaluation: int = 1, keys: list[str] | None = None, seed: int = 0) -> None:
+    """Parquet under train/ and eval/ of ``path``: a hash of ``keys`` (by default of the whole row) gives each
+    folder its part of the rows, in as many files."""
+    n = train + evaluation
+    rows = df.withColumn("_shard", F.pmod(F.xxhash64(*(keys or df.columns), F.lit(seed)), F.lit(n)).cast("int"))
+    rows.filter(F.col("_shard") < train).drop("_shard").repartition(train).write.mode("overwrite").parquet(f"{path}/train")
+    rows.filter(F.col("_shard") >= train).drop("_shard").repartition(evaluation).write.mode("overwrite").parquet(f"{path}/eval")
+
+
+def vocabulary_texts(columns: list[tuple[DataFrame, str]], limit: int | None = None) -> DataFrame:
+    """(text) of all columns of texts one after another, for building a vocabulary; ``limit`` caps their number if given.
+    Nulls are left out."""
+    out = None
+    for df, c in columns:
+        part = df.select(F.col(c).cast("string").alias("text")).filter("text is not null")
+        out = part if out is None else out.unionAll(part)
+    return out if limit is None else out.limit(limit)
+
+
+def read_instances(spark: SparkSession, path: str) -> DataFrame:
+    """(text, context) of line-delimited JSON instances: each a string, or an object with inputs and context; a missing
+    context is empty, anything else gives nulls."""
+    raw = spark.read.text(path).filter(F.trim("value") != "")
+    plain = F.from_json(F.concat(F.lit('{"x":'), "value", F.lit("}")), "x string")["x"]
+    both = F.from_json("value", "inputs string, context string")
+    quoted = F.ltrim(F.col("value")).startswith('"')
+    return raw.select(F.when(quoted, plain).otherwise(both["inputs"]).alias("text"), F.when(quoted, "").otherwise(F.coalesce(both["context"], F.when(both["inputs"].isNotNull(), F.lit("")))).alias("context"))
+
+
 def write_json(results: DataFrame, path: str) -> None:
     """A line of JSON for each document."""
     results.select(F.col("result").alias("value")).write.mode("overwrite").text(path)
