@@ -14,7 +14,7 @@ from lectern.functions import patterns as P
 from lectern.functions.predicates import refine_header
 from lectern.functions.text import bio2span, span2bio, truncate
 from lectern.operators import entries, labels, spans, supervised
-from lectern.operators.lines import line_context
+from lectern.operators.lines import in_blocks, line_context
 from lectern.operators.training import code_label
 
 
@@ -115,16 +115,21 @@ SPAN_LABELERS: dict[str, Callable[..., DataFrame]] = {"rule": _rule_spans, "hybr
 
 def parse(
     lines: DataFrame, headers: list[str], line_labeler: str = "rule", span_labeler: str = "rule", line_predictor: Predictor | PipelineModel | None = None,
-    span_predictor: Predictor | PipelineModel | None = None, fix_words: bool = True, dictionary: frozenset[str] = frozenset(), unmerged: bool = False,
+    span_predictor: Predictor | PipelineModel | None = None, fix_words: bool = True, dictionary: frozenset[str] = frozenset(), unmerged: bool = False, spread: bool = False,
 ) -> DataFrame:
     """Entries of ``lines(doc, line_no, text, tags)``: label, override, spans, names, merge, headings, pruning.
 
-    ``unmerged`` gives the lines as they are before merging (doc, line_no, label, speaker, said, bio) instead.
+    ``unmerged`` gives the lines as they are before merging (doc, line_no, label, speaker, said, bio) instead. ``spread`` is for
+    documents of many rows, of which one may hold a large part of all: up to the names, where a line depends on near ones
+    only, each is many tasks, for one more exchange.
     """
     if line_labeler not in LINE_LABELERS or span_labeler not in SPAN_LABELERS:
         raise ValueError(f"labelers: {sorted(LINE_LABELERS)}, {sorted(SPAN_LABELERS)}")
-    df = labels.override_headers(LINE_LABELERS[line_labeler](lines, headers, predictor=line_predictor))
-    df = spans.speeches_only(spans.extract_names(SPAN_LABELERS[span_labeler](df, predictor=span_predictor)))
+    def near(df: DataFrame) -> DataFrame:
+        df = labels.override_headers(LINE_LABELERS[line_labeler](df, headers, predictor=line_predictor))
+        return spans.speeches_only(spans.extract_names(SPAN_LABELERS[span_labeler](df, predictor=span_predictor)))
+
+    df = in_blocks(lines, near) if spread else near(lines)
     if span_labeler != "rule":
         df = spans.continued_names(df)
     if unmerged:

@@ -28,17 +28,21 @@ def _headers(spark: SparkSession, d: str) -> list[str]:
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    # one exchange on file serves the removal of repeats and every window of a document
-    r = table(spark, d, TALK).select("rec_id", "file", "line", "text").repartition("file").distinct()
-    return lines.split_lines(r.withColumn("o", F.struct("line", "rec_id")), "file", "text", "o")
+    # one exchange on blocks of a file serves the removal of repeats and the numbering
+    r = table(spark, d, TALK).select("rec_id", "file", "line", "text").withColumn("b", F.floor(F.col("line") / lines.BLOCK))
+    r = r.repartition("file", "b").distinct()
+    return lines.split_lines(r.withColumn("o", F.struct("line", "rec_id")), "file", "text", "o", "b")
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    return labels.override_headers(labels.label_lines(_lines(spark, d), _headers(spark, d)))
+    return lines.in_blocks(labels.label_lines(_lines(spark, d), _headers(spark, d)), labels.override_headers)
 
 
 def _named(spark: SparkSession, d: str) -> DataFrame:
-    return spans.speeches_only(spans.extract_names(spans.label_spans(_labelled(spark, d))))
+    def run(l: DataFrame) -> DataFrame:
+        return spans.speeches_only(spans.extract_names(spans.label_spans(labels.override_headers(l))))
+
+    return lines.in_blocks(labels.label_lines(_lines(spark, d), _headers(spark, d)), run)
 
 
 def _types(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +134,7 @@ def header_refine(spark, d):
 
 
 def span_detect(spark, d):
-    return spans.label_spans(_lines(spark, d)).select("doc", "line_no", "scan", "rest", "start", "end", "bio")
+    return lines.in_blocks(_lines(spark, d), spans.label_spans).select("doc", "line_no", "scan", "rest", "start", "end", "bio")
 
 
 def speaker_extract(spark, d):
@@ -138,7 +142,7 @@ def speaker_extract(spark, d):
 
 
 def hybrid_span(spark, d):
-    l = spans.label_spans(_lines(spark, d)).withColumn("has_speaker", (F.col("line_no") % 3 == 0).cast("int"))
+    l = lines.in_blocks(_lines(spark, d), spans.label_spans).withColumn("has_speaker", (F.col("line_no") % 3 == 0).cast("int"))
     return spans.hybrid_spans(l).select("doc", "line_no", "start", "end")
 
 
@@ -168,7 +172,7 @@ def distribute_headers(spark, d):
 
 
 def entries_full(spark, d):
-    return models.parse(_lines(spark, d), _headers(spark, d), fix_words=False)
+    return models.parse(_lines(spark, d), _headers(spark, d), fix_words=False, spread=True)
 
 
 def _heading_words(spark: SparkSession, d: str) -> list[str]:
@@ -177,7 +181,7 @@ def _heading_words(spark: SparkSession, d: str) -> list[str]:
 
 
 def entries_fixed(spark, d):
-    return models.parse(_lines(spark, d), _headers(spark, d), dictionary=frozenset(_heading_words(spark, d)))
+    return models.parse(_lines(spark, d), _headers(spark, d), dictionary=frozenset(_heading_words(spark, d)), spread=True)
 
 
 def fix_header_words(spark, d):
@@ -186,7 +190,7 @@ def fix_header_words(spark, d):
 
 
 def parse_diagnostics(spark, d):
-    return models.diagnostics(models.parse(_lines(spark, d), _headers(spark, d), unmerged=True))
+    return models.diagnostics(models.parse(_lines(spark, d), _headers(spark, d), unmerged=True, spread=True))
 
 
 def sitting_metadata(spark, d):
@@ -202,7 +206,7 @@ def result_json(spark, d):
 
 
 def line_context_4(spark, d):
-    return lines.line_context(_lines(spark, d)).select("doc", "line_no", "prev_context", "next_context")
+    return lines.in_blocks(_lines(spark, d), lines.line_context).select("doc", "line_no", "prev_context", "next_context")
 
 
 def truncate_2048(spark, d):
@@ -241,7 +245,7 @@ def bio_tokens(spark, d):
 
 
 def encode_chars(spark, d):
-    l = lines.line_context(_lines(spark, d))
+    l = lines.in_blocks(_lines(spark, d), lines.line_context)
     return l.select("doc", "line_no", F.md5(F.array_join(text.encode_chars(F.col("text")).cast("array<string>"), " ")).alias("ids"), F.md5(F.array_join(text.encode_chars(F.col("text"), F.col("context")).cast("array<string>"), " ")).alias("with_context"))
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import entries, labels, lines, models, spans
@@ -124,8 +125,10 @@ def test_predictors(spark):
     seen = models.predict(labels.label_lines(l, []), lambda t, c: [max(map(len, t))] * len(t), "n", "int", 10, "speech", -1)
     got = {r.line_no: r.n for r in seen.collect()}
     assert got[1] == -1 and got[2] == 2048
-    failing = models.predict(labels.label_lines(l, []), lambda t, c: 1 / 0, "n", "int", 10)
-    assert {r.n for r in failing.collect()} == {None}
+    failing = models.predict(labels.label_lines(l, []), lambda t, c: [1 / ("NO" not in t[0])], "n", "int", 1)
+    assert {r.text[:5]: r.n for r in failing.collect()}["NO NO"] is None
+    with pytest.raises(Exception, match="calls of the model failed"):
+        models.predict(labels.label_lines(l, []), lambda t, c: 1 / 0, "n", "int", 10).collect()
     sup = models.LINE_LABELERS["supervised"](l, ["no no"], predictor=lambda t, c: [0] * len(t)).collect()
     assert {r.text[:5]: r.label for r in sup}["NO NO"] == "header"
 
