@@ -101,9 +101,10 @@ def test_right_letters_stay(s):
 @pytest.mark.parametrize("s", ["café naïve", "Mürenbe and Niñaro", "it cost £9 – no", "he said “yes” to farmers’ land"])
 def test_round_trip(s, wrong):
     bad = s.encode("utf-8").decode(wrong, "replace" if wrong != "latin-1" else "strict")
-    if "�" in bad:
-        pytest.skip("the encoding loses bytes")
     fixed, layers, runs = encoding.repair(bad)
+    if "�" in bad:  # a byte is lost: what is left is given back, the loss stays marked
+        assert runs and "�" in fixed and fixed != bad and all(w in fixed.split() for w in s.split() if w.isascii())
+        return
     assert fixed == s and layers == 1 and runs
     if wrong == "cp1252":
         twice = bad.encode("utf-8").decode(wrong, "replace")
