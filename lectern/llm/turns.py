@@ -337,8 +337,12 @@ def infer(found: DataFrame) -> DataFrame:
     """
     gap = F.col("speaker").isNull() & F.col("inferred")
     words = F.explode(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != ""))
-    holes = found.filter(gap).select("file").distinct()
-    mine = found.join(holes, "file", "left_semi")
+    holes = stage(found.filter(gap).select("file").distinct(), "holes")
+    n = holes.count()
+    if not n:
+        return found
+    # files with gaps: broadcast up to so many names, else joined
+    mine = found.join(F.broadcast(holes) if n <= 100_000 else holes, "file", "left_semi")
     # each gap's words, and each participant's: counts, sizes
     said = mine.filter("speaker is not null").select("file", "speaker", words.alias("w")).groupBy("file", "speaker", "w").agg(F.count("*").alias("c"))
     size = said.groupBy("file", "speaker").agg(F.sum("c").alias("m"))
@@ -369,8 +373,8 @@ def infer(found: DataFrame) -> DataFrame:
     ends = step.filter("next is not null").select("file", "_run", "_part", F.col("next").alias("to")).distinct().join(jumps, ["file", "to"]).groupBy("file", "_run", "_part").agg(near.alias("last"))
     runs = step.join(into, ["file", "_run", "_part"], "left").join(ends, ["file", "_run", "_part"], "left")
     got = runs.groupBy("file", "_run", "_part").applyInPandas(_decode_gaps, "file string, first_line int, who string")
-    out = found.join(got.withColumn("inferred", F.lit(True)), ["file", "first_line", "inferred"], "left")
-    return out.select("file", "first_line", "last_line", F.coalesce("speaker", "who").alias("speaker"), "inferred", "text")
+    put = found.filter(gap).join(got, ["file", "first_line"], "left").select("file", "first_line", "last_line", F.col("who").alias("speaker"), "inferred", "text")
+    return found.filter(~gap).unionByName(put)
 
 
 def _decode_gaps(df: pd.DataFrame) -> pd.DataFrame:
