@@ -25,12 +25,8 @@ HEAD_WORDS = 16
 
 def _pieces(c: Column) -> Column:
     """Pieces of one to three characters of a text, with the ends marked, and its shape."""
-    chars = F.filter(F.split(F.concat(F.lit("^"), F.lower(c), F.lit("$")), ""), lambda x: x != "")
-
-    def grams_of(n: int) -> Column:
-        return F.transform(chars, lambda x, i: F.array_join(F.slice(chars, i + 1, n), ""))
-
-    grams = [grams_of(n) for n in (1, 2, 3)]
+    ends = F.concat(F.lit("^"), F.lower(c), F.lit("$"))
+    grams = [F.regexp_extract_all(ends, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)]
     letters = F.regexp_replace(c, "[^A-Za-z]", "")
     capitals = F.char_length(F.regexp_replace(c, "[^A-Z]", "")) / F.greatest(F.char_length(letters), F.lit(1))
     shape = F.array(
